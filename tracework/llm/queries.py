@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from .common import table
+import os
+from importlib.util import find_spec
+
+from .common import shared_path, table
 from .decontaminate import benchmark_spans, summarise
+from .packing import pack_documents
 from .quality import quality
 from .signatures import license_scan
+from .tokenfile import read_token_file, write_token_file
 from .urls import url_filter
 
+#: The folder of public tokenizer files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or (
+    os.path.dirname(spec.origin) if (spec := find_spec("public_tokenizers")) else "/opt/tokenizers"
+)
+
 
 def op1_quality_rules(spark, sf_dir):
     q = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return q.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")])
 
 
+def op2_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op4_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -22,6 +36,12 @@ def op5_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_token_file(spark, sf_dir):
+    path = shared_path(spark, "tokens")
+    write_token_file(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    return read_token_file(spark, path)
+
+
 def op9_decontaminate(spark, sf_dir):
     return summarise(benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
