@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 from importlib.util import find_spec
 
+from pyspark.sql import functions as F
+
 from .common import shared_path, table
 from .decontaminate import benchmark_spans, summarise
 from .packing import pack_documents
 from .quality import quality
 from .signatures import license_scan
+from .substrings import repeated_words, without_repeats
 from .tokenfile import read_token_file, write_token_file
 from .urls import url_filter
 
@@ -42,6 +45,11 @@ def op7_token_file(spark, sf_dir):
     return read_token_file(spark, path)
 
 
+def op8_substring_dedup(spark, sf_dir):
+    kept = without_repeats(repeated_words(table(spark, sf_dir, "documents")))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return summarise(benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
