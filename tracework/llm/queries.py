@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, table
 from .decontaminate import benchmark_spans, summarise
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
 from .signatures import license_scan
@@ -39,6 +40,10 @@ def op5_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark, sf_dir):
     path = shared_path(spark, "tokens")
     write_token_file(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")

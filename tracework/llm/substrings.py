@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, plain_words
+from .hashing import least, pair, rolling
 
 WINDOW = 35
 SHINGLE = 8
@@ -31,41 +32,9 @@ SHINGLE = 8
 CELL_BITS, ROWS = 27, 2
 
 _U = np.uint64
-_A, _B = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _PLACE = (1 << 28) - 1
 
 
-def _pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
-    h = (a + _U(seed)) * _A + b
-    h ^= h >> _U(32)
-    h *= _B
-    h ^= h >> _U(29)
-    return h
-
-
-def _rolling(x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """A hash of each ``n`` consecutive values, from those of powers of two."""
-    out, at, size, power = None, 0, 1, x
-    while at < n:
-        if (n >> (size.bit_length() - 1)) & 1:
-            part = power[at:]
-            out = part if out is None else _pair(out[: len(part)], part, seed + n)
-            at += size
-        if at < n:
-            power = _pair(power[:-size], power[size:], seed + size)
-            size *= 2
-    return out[: max(0, len(x) - n + 1)]
-
-
-def _least(x: np.ndarray, n: int) -> np.ndarray:
-    """The least of each ``n`` consecutive values."""
-    size, m = 1, x
-    while 2 * size <= n:
-        m = np.minimum(m[:-size], m[size:])
-        size *= 2
-    return np.minimum(m[: len(x) - n + 1], m[n - size : n - size + len(x) - n + 1])
-
-
 class _Batch:
     """Windows of some documents: word hashes ``x``, valid ``starts``, and each start's anchor place."""
 
@@ -81,10 +50,10 @@ class _Batch:
         self.starts = np.flatnonzero(left >= n)
         shingle = min(SHINGLE, n)
         if len(self.starts):
-            self.shingles = _rolling(self.x, shingle)
+            self.shingles = rolling(self.x, shingle)
             order = (self.shingles & ~_U(_PLACE)) | np.arange(len(self.shingles), dtype=_U)
-            least = _least(order, n - shingle + 1)
-            self.anchors = (least[self.starts] & _U(_PLACE)).astype(np.int64)
+            lowest = least(order, n - shingle + 1)
+            self.anchors = (lowest[self.starts] & _U(_PLACE)).astype(np.int64)
 
     def owners(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         docs = np.searchsorted(self.ends, starts, side="right")
@@ -93,7 +62,7 @@ class _Batch:
 
 def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
     return [
-        (_pair(anchors, anchors, 101 + r) >> _U(64 - bits)).astype(np.int64) + (r << bits) for r in range(ROWS)
+        (pair(anchors, anchors, 101 + r) >> _U(64 - bits)).astype(np.int64) + (r << bits) for r in range(ROWS)
     ]
 
 
@@ -133,7 +102,7 @@ def _collector(n: int, bits: int, repeated):
                 starts = part.starts[seen[back]]
                 if not len(starts):
                     continue
-                a, b = _rolling(part.x, n, 7)[starts], _rolling(part.x, n, 1 << 20)[starts]
+                a, b = rolling(part.x, n, 7)[starts], rolling(part.x, n, 1 << 20)[starts]
                 order = np.lexsort((starts, b, a))
                 a, b, starts = a[order], b[order], starts[order]
                 fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -145,7 +114,7 @@ def _collector(n: int, bits: int, repeated):
                 new[1:] = (sure[1:] != sure[:-1] + 1) | (doc[1:] != doc[:-1])
                 runs = np.flatnonzero(new)
                 lengths = np.diff([*runs, len(sure)])
-                spread = _pair(sure[runs].astype(_U), _U(first) + sure[runs].astype(_U), 3)
+                spread = pair(sure[runs].astype(_U), _U(first) + sure[runs].astype(_U), 3)
                 yield _rows(spread, spread, ids, tags, first + doc[runs], place[runs], lengths)
                 doc, place = part.owners(starts[fresh])
                 yield _rows(a[fresh], b[fresh], ids, tags, first + doc, place, -twice[fresh].astype(np.int64))
