@@ -12,6 +12,8 @@ from .decontaminate import benchmark_spans, summarise
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
+from .secrets import labelled_sample, secret_scan, train
+from .secrets import summarise as list_secrets
 from .signatures import license_scan
 from .substrings import repeated_words, without_repeats
 from .tokenfile import read_token_file, write_token_file
@@ -32,6 +34,11 @@ def op2_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op3_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return list_secrets(secret_scan(docs, train(labelled_sample(docs))))
+
+
 def op4_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
