@@ -16,14 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import SPACE, cut, letter_words, pieces  # noqa: F401
+from .common import LOWER, UPPER, cut, letter_words, pieces
 
 WINDOW = 10
 #: Text bytes of benchmark items whose windows are broadcast at once.
 BLOCK_BYTES = 16_000_000
 
-_STATE = "doc_id {id}, text string, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
+_STATE = "text string, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,8 +135,7 @@ def benchmark_spans(
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "utf-8").alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = _STATE.format(id=id_type)
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(_STATE).fields])
     state = docs.select(
         "doc_id",
         "text",
@@ -168,6 +168,6 @@ def summarise(spans: DataFrame) -> DataFrame:
 def without_spans(spans: DataFrame) -> DataFrame:
     """``doc_id, text``: the words outside the spans, lower-cased and joined by one space, for
     documents that have spans; other texts stay as they are."""
-    words = F.filter(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    words = F.filter(F.split(F.translate("text", UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
     kept = F.filter(words, lambda w, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["stop"])))
     return spans.select("doc_id", F.when(F.size("spans") > 0, F.array_join(kept, " ")).otherwise(F.col("text")).alias("text"))

@@ -107,6 +107,8 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     n_words = F.col("_n").cast("bigint")
     base_failed = (n_words < rules.min_words) | (100 * F.col("_r") > rules.repeat_percent * n_words)
     lines = F.split(text, "\n")
+    # always true; a filter on the verdict must not be pushed below, where it would compute every step anew per word
+    once = F.monotonically_increasing_id() >= 0
     clean = F.when(F.size("_f") == 0, F.col("text")).otherwise(
         F.array_join(F.filter(lines, lambda x: ~F.array_contains("_f", x)), "\n")
     )
@@ -120,7 +122,7 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             F.col("_r").alias("n_repeat_words"),
             base_failed.alias("base_failed"),
             F.col("_l").alias("n_lost_words"),
-            (~base_failed & (100 * F.col("_l") <= rules.lost_percent * n_words)).alias("kept"),
+            F.when(once, ~base_failed & (100 * F.col("_l") <= rules.lost_percent * n_words)).alias("kept"),
             clean.alias("clean_text"),
         ).alias("quality"),
     )

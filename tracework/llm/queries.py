@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, table
 from .decontaminate import benchmark_spans, summarise
+from .html import extract
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
@@ -66,5 +67,9 @@ def op9_decontaminate(spark, sf_dir):
     return summarise(benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_html_extraction(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def queries():
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
