@@ -2,6 +2,30 @@
 
 from __future__ import annotations
 
+from .common import LOWER, UPPER
+
+_WORDS = f"coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+_PLAIN = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+
+_OP9 = f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+b AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM bw WHERE len(w) > 0)),
+d AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw, (SELECT DISTINCT n FROM b) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, i, d.n, item_id FROM d JOIN b ON d.n = b.n AND d.win = b.win),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS j FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_OP8 = f"""WITH dw AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS win FROM (SELECT *, unnest(generate_series(1, len(w) - 34)) AS i FROM dw WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM x) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS j FROM r), g AS (SELECT doc_id, list(j) AS js FROM c GROUP BY 1),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j FROM dw),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.j) AS kept, count(*) AS n_kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.j = p.j WHERE c.j IS NULL GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM dw LEFT JOIN k USING (doc_id)"""
+
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_substring_dedup": _OP8, "op9_decontaminate": _OP9}
