@@ -4,7 +4,7 @@ Pass one: each batch of documents yields a sparse count-min sketch of its window
 are merged by summing cells.  A window is counted under its anchor, the 8-word shingle of it with
 the least hash: equal windows have equal anchors at equal places, so an anchor's count is never
 below its windows' counts, and a batch only has to count the few anchors.  Pass two: windows whose
-anchor is estimated to occur twice are grouped exactly, by 128-bit fingerprints; no other window
+anchor is estimated to occur twice are grouped exactly, by 96-bit fingerprints; no other window
 can be repeated.  Of a window that a batch holds several times one row leaves the batch, so hot
 passages don't meet in one task.
 
@@ -103,6 +103,7 @@ def _collector(n: int, bits: int, repeated):
                 if not len(starts):
                     continue
                 a, b = rolling(part.x, n, 7)[starts], rolling(part.x, n, 1 << 20)[starts]
+                b &= ~_U(0xFFFFFFFF)
                 order = np.lexsort((starts, b, a))
                 a, b, starts = a[order], b[order], starts[order]
                 fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -116,8 +117,10 @@ def _collector(n: int, bits: int, repeated):
                 lengths = np.diff([*runs, len(sure)])
                 spread = pair(sure[runs].astype(_U), _U(first) + sure[runs].astype(_U), 3)
                 yield _rows(spread, spread, ids, tags, first + doc[runs], place[runs], lengths)
-                doc, place = part.owners(starts[fresh])
-                yield _rows(a[fresh], b[fresh], ids, tags, first + doc, place, -twice[fresh].astype(np.int64))
+                one = np.flatnonzero(fresh)
+                one = one[np.argsort(starts[one])]  # a document's rows side by side take less room in the shuffle
+                doc, place = part.owners(starts[one])
+                yield _rows(a[one], b[one], ids, tags, first + doc, place, -twice[one].astype(np.int64))
 
     return collect
 
@@ -126,7 +129,7 @@ def _rows(a, b, ids, tags, docs, starts, spans) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(a.view(np.int64)),
-            pa.array(b.view(np.int64)),
+            pa.array((b >> _U(32)).astype(np.uint32).view(np.int32)),
             ids.take(pa.array(docs)),
             pa.array(tags[docs] << 32 | starts),
             pa.array(spans.astype(np.int32)),
@@ -192,7 +195,7 @@ def repeated_words(docs: DataFrame, n: int = WINDOW, cell_bits: int = CELL_BITS)
         sketch[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)[: len(sketch) - (r.k - 1) * 4096]
     repeated = spark.sparkContext.broadcast(sketch.tobytes())
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_collector(n, cell_bits, repeated), f"a bigint, b bigint, doc_id {id_type}, place bigint, span int")
+    found = rows.mapInArrow(_collector(n, cell_bits, repeated), f"a bigint, b int, doc_id {id_type}, place bigint, span int")
     found = found.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b")
     found = found.mapInArrow(_matcher, f"doc_id {id_type}, place bigint, span int")
     runs = found.groupBy(F.col("doc_id").alias("run_id"), F.shiftright("place", 32).alias("run_tag")).agg(
