@@ -334,8 +334,12 @@ def payload_guard(spark, sf_dir):
 
 
 def queries():
+    from . import reports  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    from . import reports  # noqa: F401
+
     return dict(_SQL)

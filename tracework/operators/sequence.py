@@ -37,7 +37,8 @@ def fill(df: DataFrame, keys, order, value: str, name: str) -> DataFrame:
     """Forward fill; rows before the first value take that first value."""
     w = _window(keys, order)
     forward = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    backward = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # looking ahead is a running value in reverse order: a frame to the last row is read anew for each row
+    backward = F.last(value, ignorenulls=True).over(_window(keys, [F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(name, F.coalesce(forward, backward))
 
 
@@ -45,13 +46,14 @@ def neighbours(df: DataFrame, keys, ts: str, is_target: Column, ties=()) -> Data
     """Adds the times of the nearest targets: ``before`` (up to this row), ``strictly_before`` (earlier
     time) and ``after`` (from this row on)."""
     w = _window(keys, [ts, *ties])
+    ahead = _window(keys, [F.desc(c) for c in (ts, *ties)])
     by_time = Window.partitionBy(*keys).orderBy(ts)
     target = F.when(is_target, F.col(ts))
     return (
         df.withColumn("_t", target)
         .withColumn("before", F.last("_t", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("strictly_before", F.max("_t").over(by_time.rangeBetween(Window.unboundedPreceding, -1)))
-        .withColumn("after", F.first("_t", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("after", F.last("_t", True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
         .drop("_t")
     )
 
