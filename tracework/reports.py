@@ -11,6 +11,7 @@ from .operators import audits as U
 from .operators import brackets as B
 from .operators import grid as G
 from .operators import rules as R
+from .operators import suppress as X
 from .sources.event_log import activity, table
 from .streaming import counts as C
 
@@ -276,3 +277,10 @@ def sliding_counts(spark, sf_dir):
 @query("SELECT o_orderkey % 100 < 51 AS dev, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
 def dev_test_split(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 100 < 51).alias("dev")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))
+
+
+@query()
+def non_max_suppression(spark, sf_dir):
+    """Clicks by falling value, three hours apart at least; SQL has no such fold, a test compares it with a loop."""
+    clicks = activity(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "value"), "event_id").where("event_type = 'click'")
+    return X.non_max(clicks, "session_id", "t", "value", 3 * HOUR)
