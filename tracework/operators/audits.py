@@ -22,9 +22,9 @@ def randomisation_test(df: DataFrame, ident: str, value: str, group: Column, dra
     stat = F.avg(F.when(F.col("_in"), F.col("_v"))) - F.avg(F.when(~F.col("_in"), F.col("_v")))
     stats = rows.groupBy("draw").agg(stat.alias("stat"))
     seen = F.max(F.when(F.col("draw") == 0, F.col("stat")))
-    out = stats.agg(seen.alias("observed"), F.collect_list(F.when(F.col("draw") > 0, F.col("stat"))).alias("_s"))
-    hits = F.size(F.filter("_s", lambda s: F.abs(s) >= F.abs(F.col("observed")) - 1e-12))
-    return out.select(F.round("observed", 6).alias("observed"), hits.cast("bigint").alias("hits"), F.round((hits + 1) / (draws + 1), 6).alias("p"))
+    out = stats.agg(seen.alias("_seen"), F.collect_list(F.when(F.col("draw") > 0, F.col("stat"))).alias("_s"))
+    hits = F.size(F.filter("_s", lambda s: F.abs(s) >= F.abs(F.col("_seen")) - 1e-12))
+    return out.select(F.round("_seen", 6).alias("observed"), hits.cast("bigint").alias("hits"), F.round((hits + 1) / (draws + 1), 6).alias("p"))
 
 
 def purity(df: DataFrame, label: str, other: str) -> DataFrame:

@@ -226,10 +226,10 @@ def gap_sweep(spark, sf_dir):
     return d.withColumn("gap_hours", hours).groupBy("gap_hours").agg(F.count_if(F.col("d").isNull() | (F.col("d") > F.col("gap_hours").cast("bigint") * HOUR)).alias("groups"))
 
 
-@query("SELECT least(floor(l_discount * 10 / 0.1000001), 9) AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT least(CAST(round(l_discount * 1000) AS BIGINT) // 10, 9) AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
 def histogram10(spark, sf_dir):
-    """Ten bins over [0, 0.1]; the last one is closed on the right."""
-    b = F.least(F.floor(F.col("l_discount") * 10 / 0.1000001), F.lit(9))
+    """Ten bins over [0, 0.1], counted in thousandths; the last one is closed on the right."""
+    b = F.least(F.floor(F.round(F.col("l_discount") * 1000) / 10), F.lit(9))
     return table(spark, sf_dir, "lineitem").groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
 
 
