@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracework.functions import regulations as J
 from tracework.operators import grid as G
+from tracework.operators import learn as L
 from tracework.operators import suppress as X
 from tracework.streaming import counts as C
 
@@ -80,3 +81,23 @@ def test_stream_counts_equal_the_batch(spark, tmp_path):
         q.awaitTermination(120)
         got, want = {tuple(r) for r in spark.table(name).collect()}, {tuple(r) for r in f(batch).collect()}
         assert got <= want and (name == "sessions" or got == want)
+
+
+def test_drafted_rules(spark):
+    reply = '```json\n[{"yen": 200000, "cmp": "超", "outcome": "取締役会決議"}, {"yen": 50000, "cmp": "未満", "outcome": "部門長承認"}, {"yen": 50000, "cmp": "以上", "outcome": "役員承認"}]\n```'
+    same = J.same_rules(J.drafted_rules(F.col("r")), J.threshold_rules(F.col("t")))
+    assert one(spark, "r string, t string", (reply, TEXT), same)[0] is True
+    assert one(spark, "r string, t string", ("[]", TEXT), same)[0] is False
+    assert one(spark, "r string, t string", ("none", TEXT), same)[0] is None
+    row = one(spark, "t string", (TEXT,), J.ungoverned(F.lit("automated_by_rule"), F.col("t"), F.lit("残業手当調整")), J.ungoverned(F.lit("done"), F.col("t"), F.lit("x")))
+    assert tuple(row) == (True, False)
+
+
+def test_clusters_and_tagger(spark):
+    rows = [(i, ["a", "b"] if i % 2 else ["x", "y"]) for i in range(20)]
+    got = {r.i: r.cluster for r in L.token_clusters(spark.createDataFrame(rows, "i int, w array<string>"), "w", 2).collect()}
+    assert len({got[i] for i in range(0, 20, 2)}) == 1 and got[0] != got[1]
+    assert L.token_clusters(spark.createDataFrame([(1, None)], "i int, w array<string>"), "w", 2).first().cluster == 0
+    d = spark.createDataFrame([(float(i), 1.0, "low" if i < 20 else "mid" if i < 40 else "high") for i in range(60)], "x double, y double, c string")
+    out = L.tagger(d, "c", ["x", "y"]).transform(d)
+    assert out.where("_label = prediction").count() >= 57

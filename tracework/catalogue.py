@@ -334,12 +334,12 @@ def payload_guard(spark, sf_dir):
 
 
 def queries():
-    from . import reports  # noqa: F401  registers its queries
+    from . import reports, unit_reports  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from . import reports  # noqa: F401
+    from . import reports, unit_reports  # noqa: F401
 
     return dict(_SQL)

@@ -95,3 +95,20 @@ def screen_rows(text: Column) -> Column:
     )["at"]
     rows = F.transform(starts, lambda i: F.map_from_arrays(cols, F.slice(lines, i + 1, width)))
     return F.when(good, rows).otherwise(F.array().cast("array<map<string,string>>"))
+
+
+def drafted_rules(reply: Column) -> Column:
+    """Rules of a JSON reply, fenced or not, in the order of (yen, cmp, outcome); null if it is no rule list."""
+    body = _trim(F.regexp_replace(_trim(reply), r"^```[a-z]*|```$", ""))
+    rules = F.from_json(body, "array<struct<yen: bigint, cmp: string, outcome: string>>")
+    return F.when(body.startswith("["), F.array_sort(F.array_distinct(rules)))
+
+
+def same_rules(a: Column, b: Column) -> Column:
+    """Whether two rule arrays hold the same rules, in any order; null if either is null."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def ungoverned(mode: Column, text: Column, subject: Column) -> Column:
+    """Whether a row was routed by a threshold rule although the regulation does not name its subject."""
+    return (mode == "automated_by_rule") & ~governs(text, subject)
