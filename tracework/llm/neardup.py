@@ -197,8 +197,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n: int = SHINGL
     buckets = buckets.where("first <> last").drop("last")
     members = keep(placed.join(buckets, ["band", "key"]), "members")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return rows.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_set_maker(n), "doc_id bigint, shingles binary")
+    # the texts are read once more, for the sets of all candidates; both rounds and the blocks join those
+    candidates = keep(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    texts = rows.join(candidates, "doc_id", "left_semi")
+    sets = keep(texts.mapInArrow(_set_maker(n), "doc_id bigint, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
@@ -206,8 +208,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n: int = SHINGL
         likely = likely.mapInArrow(_estimator(m, threshold / 100 - MARGIN), "a bigint, b bigint")
         likely = keep(likely.distinct(), "likely")
         ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id")))
-        sets = keep(sets_of(ids), "sets")
-        named = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
+        own = sets.join(ids.distinct(), "doc_id", "left_semi")
+        named = lambda x: own.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
         both = likely.join(named("a"), "a").join(named("b"), "b")
         return keep(both.mapInArrow(_confirmer(threshold), "a bigint, b bigint").distinct(), "links")
 
@@ -247,8 +249,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n: int = SHINGL
     )
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     large = large.join(main.select("band", "key", "main", blocks(F.col("all")).alias("na"), blocks(F.col("all") - F.col("most")).alias("nr")), ["band", "key"])
-    sets = sets_of(large.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-    large = large.join(sets, "rep")
+    large = large.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     place = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = ["band", "key", "rep", "component", "shingles"]
