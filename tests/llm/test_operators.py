@@ -170,3 +170,25 @@ def test_html_blocks_and_wrappers():
     assert html.parse("")[0] == []
     assert html.fold(["<ul>", *["<li>", "#1", "</li>"] * 5, "</ul>"]) == ["<ul>", "<li>", "#1", "</li>", "</ul>"]
     assert html.align(["<p>", "#1", "</p>"], ["<p>", "#2", "</p>", "<hr>"]) == ["<p>", "#", "</p>", "<hr>?"]
+
+
+def test_wrappers_decide_on_named_and_unnamed_pages(spark):
+    share, more = "<p>Share this story</p>", "<p>Read more stories of this site</p>"
+    text = lambda i: f"<p>story {i} {LONG[i : i + 300]}</p><p>end of {i} {LONG[i : i + 90]}</p>"
+    named = [f"<body><div class=ad>ad {i}</div><article><h1>title {i}</h1>{text(i)}{share if i % 5 else ''}</article></body>" for i in range(12)]
+    plain = [f"<body><div><h1>title {i}</h1>{text(i)}</div><div>{more}</div></body>" for i in range(12)]
+    marked = [f"<body><div class=page-header><h1>title {i}</h1>{text(i)}</div></body>" for i in range(12)]
+    copies = [f"<body><div class=ad>ad {i}</div><article>{text(1)}</article></body>" for i in range(4)]
+    rows = [(1000 * k + i, f"http://h{k}.org/{i}", h) for k, hs in enumerate((named, plain, marked, copies)) for i, h in enumerate(hs)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    lines = lambda i: [b[2] for b in html.parse(text(i))[0]]
+    for i in range(12):
+        for k in range(3):
+            assert got[1000 * k + i].split("\n") == [f"title {i}", *lines(i)]
+    assert all(got[3000 + i].split("\n") == lines(1) for i in range(4))
+
+
+def test_alignment_turns_a_common_text_into_a_slot():
+    by = lambda name: ["<b>", f"#{name}@m1", "</b>", "<p>", "#t@m2", "</p>"]
+    assert html.infer([by("ann"), by("ann"), by("ann"), by("bob")]) == ["<b>", "#@m1", "</b>", "<p>", "=t@m2", "</p>"]
+    assert html.infer([by("ann")] * 3 + [by("ann")[3:]]) == ["<b>?", "=ann@m1?", "</b>?", "<p>", "=t@m2", "</p>"]
