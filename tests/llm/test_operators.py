@@ -192,3 +192,19 @@ def test_alignment_turns_a_common_text_into_a_slot():
     by = lambda name: ["<b>", f"#{name}@m1", "</b>", "<p>", "#t@m2", "</p>"]
     assert html.infer([by("ann"), by("ann"), by("ann"), by("bob")]) == ["<b>", "#@m1", "</b>", "<p>", "=t@m2", "</p>"]
     assert html.infer([by("ann")] * 3 + [by("ann")[3:]]) == ["<b>?", "=ann@m1?", "</b>?", "<p>", "=t@m2", "</p>"]
+
+
+def test_url_branches_without_labels_take_merged_counts(spark):
+    rules = (("block", "x.com/a/"), ("block", "x.com/b/"), ("block", "y.com/t/a/"), ("block", "y.com/t/b/"), ("block", "z.com/a/"), ("block", "v.com/a/"), ("allow", "v.com/b/"))
+    paths = [f"{p}/{i}" for p in ("x.com/a", "x.com/b", "y.com/t/a", "y.com/t/b", "z.com/a", "v.com/a", "v.com/b") for i in range(20)]
+    paths += ["x.com/c/1", "x.com/c/d/e", "y.com/t/c/1", "y.com/u/1", "z.com/c/1", "v.com/c/1"]
+    pages = spark.createDataFrame(list(enumerate(f"http://{p}" for p in paths)), "page_id bigint, url string")
+    got = {r.host + r.path: r for r in url_filter(pages, rules).collect()}
+    assert len(got) == len(paths)
+    judged = {p: (got[p].rule, got[p].verdict, round(got[p].purity, 3)) for p in paths[-6:]}
+    both = round(41 / 42, 3)
+    assert judged == {
+        "x.com/c/1": (None, "block", both), "x.com/c/d/e": (None, "block", both), "y.com/t/c/1": (None, "block", both),
+        "y.com/u/1": (None, "allow", 0.5), "z.com/c/1": (None, "allow", 0.5), "v.com/c/1": (None, "allow", 0.5),
+    }
+    assert round(got["x.com/a/1"].purity, 3) == both and round(got["v.com/a/1"].purity, 3) == round(21 / 22, 3)

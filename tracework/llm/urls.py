@@ -1,19 +1,20 @@
 """URL filters: host and path rules, then a path-template tree per host with labelled purity.
 
 DataFrame expressions only.  Variable segments become wildcards by their form (digits, hex, long
-tokens) or by how many values stand at one place; sibling branches whose labelled shares are
-statistically alike are judged on their pooled counts; a template is rejected when its smoothed
-share of bad labels reaches a bound.
+tokens) or by how many values stand at one place; at every level, sibling branches whose labelled
+shares are statistically alike are merged; a branch without labels of its own takes the counts of
+its siblings, or of the nearest ancestor that more than one labelled branch speaks for; a template
+is rejected when its smoothed share of bad labels reaches a bound.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, keep
 
 #: Fixed values: (verdict, host and path) rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -28,6 +29,9 @@ class Tree:
     spread: int = 5
     #: Labelled pages that a branch needs to be compared with its siblings.
     labelled: int = 5
+    #: Such branches that must speak before their counts hold for siblings without labels: the labels of
+    #: one branch alone are its rule's, and say nothing of the places beside it.
+    branches: int = 2
     #: Standard errors within which branches count as alike.
     alike: float = 1.0
     #: Pseudo-labels, half of them bad, that every template starts with.
@@ -65,6 +69,56 @@ def _shape(segment: Column) -> Column:
     )
 
 
+def _merged(leaf: DataFrame, tree: Tree) -> DataFrame:
+    """``leaf`` (host, template, labelled, bad) with ``n`` and ``b``, the counts that each template is judged on.
+
+    Level by level from the host, siblings with labels enough are merged, in the order of their
+    shares, as long as each is alike to the one before, and go on as one branch.  Others take what ``given_n`` and ``given_b``
+    hold: all labels below their parent if branches enough have them, else what the parent took.
+    """
+    none = F.lit(None).cast("bigint")
+    leaf = leaf.withColumns({"n": F.col("labelled"), "b": F.col("bad"), "given_n": none, "given_b": none, "path": F.col("template")})
+    for level in range(1, tree.depth + 2):
+        node = F.when(F.size("path") >= level, F.slice("path", 1, level))
+        leaf = leaf.withColumn("node", node)
+        nodes = leaf.where("node is not null").groupBy("host", "node").agg(F.sum("labelled").alias("own_n"), F.sum("bad").alias("own_b"))
+        nodes = nodes.withColumn("parent", F.slice("node", 1, level - 1)).withColumn("strong", F.col("own_n") >= tree.labelled)
+        nodes = nodes.withColumn("share", F.when(F.col("strong"), F.col("own_b") / F.col("own_n")))
+        siblings = Window.partitionBy("host", "parent", "strong")
+        order = siblings.orderBy("share", "node")
+        n0, b0 = F.lag("own_n").over(order), F.lag("own_b").over(order)
+        mean = (b0 + F.col("own_b")) / (n0 + F.col("own_n"))
+        error = F.sqrt(mean * (1 - mean) * (1 / n0 + 1 / F.col("own_n")))
+        apart = F.col("share") - F.lag("share").over(order) > tree.alike * error
+        nodes = nodes.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0)))
+        nodes = nodes.withColumn("group", F.sum("apart").over(order))
+        group, parent = Window.partitionBy("host", "parent", "strong", "group"), Window.partitionBy("host", "parent")
+        nodes = nodes.withColumns(
+            {
+                "all_n": F.sum("own_n").over(group),
+                "all_b": F.sum("own_b").over(group),
+                "members": F.count("*").over(group),
+                "name": F.min(F.element_at("node", level)).over(group),
+                "up_n": F.sum("own_n").over(parent),
+                "up_b": F.sum("own_b").over(parent),
+                "speak": F.sum(F.col("strong").cast("int")).over(parent),
+            }
+        )
+        leaf = leaf.join(nodes.drop("parent", "share", "apart", "group"), ["host", "node"], "left")
+        here, strong, merged = F.col("node").isNotNull(), F.col("strong"), F.col("strong") & (F.col("members") > 1)
+        new = {}
+        for x in ("n", "b"):
+            above = F.when(F.col("speak") >= tree.branches, F.col(f"up_{x}")).otherwise(F.col(f"given_{x}"))
+            own = F.when(strong, F.col(f"all_{x}")).otherwise(F.coalesce(above, F.col(f"own_{x}")))
+            new[x] = F.when(here, own).otherwise(F.col(x))
+            new[f"given_{x}"] = F.when(here, F.when(merged, F.col(f"all_{x}")).when(~strong, above))
+        one = F.concat(F.slice("path", 1, level - 1), F.array("name"), F.slice("path", level + 1, tree.depth + 1))
+        new["path"] = F.when(here & merged, one).otherwise(F.col("path"))
+        leaf = leaf.select("host", "template", "labelled", "bad", *[c.alias(x) for x, c in new.items()])
+        leaf = keep(leaf, "branches")
+    return leaf
+
+
 def url_filter(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
     """``page_id, host, path, rule, template, purity, verdict`` for every row of ``pages``.
 
@@ -85,7 +139,7 @@ def url_filter(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
     seen = a.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("m").alias("labelled"), F.sum(F.when(F.col("m").isNotNull(), bad)).alias("bad")
     )
-    seen = seen.withColumn("bad", F.coalesce("bad", F.lit(0)))
+    seen = keep(seen.withColumn("bad", F.coalesce("bad", F.lit(0))), "shapes")
     # level by level from the host: a place with too many values becomes a wildcard below its parent
     seen = seen.withColumn("template", F.expr("cast(array() as array<string>)"))
     for level in range(tree.depth + 1):
@@ -103,20 +157,10 @@ def url_filter(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
             F.concat("template", F.array(F.coalesce("wild", here)))
         )
         seen = seen.join(counts, ["host", "template"], "left").withColumn("template", grown).drop("wild")
-    # siblings: templates of one host that differ in one literal, the first; alike ones are pooled
+    seen = keep(seen, "templates")
     leaf = seen.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    leaf = leaf.withColumn("tail", F.slice("template", 2, tree.depth + 1))
-    pool = leaf.where(F.col("labelled") >= tree.labelled).groupBy("host", "tail").agg(
-        F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
-    )
-    leaf = leaf.join(pool, ["host", "tail"], "left")
-    share = F.col("all_bad") / F.col("all_labelled")
-    alike = (F.col("labelled") >= tree.labelled) & (
-        F.abs(F.col("bad") / F.col("labelled") - share) <= tree.alike * F.sqrt(share * (1 - share) / F.col("labelled"))
-    )
-    n = F.when(alike, F.col("all_labelled")).otherwise(F.col("labelled"))
-    b = F.when(alike, F.col("all_bad")).otherwise(F.col("bad"))
-    leaf = leaf.withColumn("purity", (b + tree.smoothing / 2) / (n + tree.smoothing))
+    leaf = _merged(leaf, tree)
+    leaf = leaf.withColumn("purity", (F.col("b") + tree.smoothing / 2) / (F.col("n") + tree.smoothing))
     judged = seen.select("host", "shape", "template").join(
         leaf.select("host", "template", "purity"), ["host", "template"]
     )
