@@ -1,6 +1,7 @@
 """Operators against SQL or brute force on small tables, with nulls, repeats, empty and long texts."""
 
 import collections
+import itertools
 import re
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.oracle import connect, differences
-from tracework.llm import html, packing, queries, rans, setsketch, sql, tokenfile
+from tracework.llm import html, packing, queries, rans, setsketch, signatures, sql, tokenfile
 from tracework.llm.decontaminate import benchmark_spans, summarise
 from tracework.llm.neardup import near_duplicates, shingle_sets
 from tracework.llm.packing import pack_documents
@@ -208,3 +209,22 @@ def test_url_branches_without_labels_take_merged_counts(spark):
         "y.com/u/1": (None, "allow", 0.5), "z.com/c/1": (None, "allow", 0.5), "v.com/c/1": (None, "allow", 0.5),
     }
     assert round(got["x.com/a/1"].purity, 3) == both and round(got["v.com/a/1"].purity, 3) == round(21 / 22, 3)
+
+
+def test_every_license_rule_passes_the_gate(spark):
+    forms = {
+        "identifier": "SPDX-License-Identifier: {short}", "grant": "available under {short}", "terms": "terms of the {full}", "notice": "licence is {short}",
+        "version": "{full} version 2", "copy": "copy of the {full}", "name": "a {full}\nhere", "short": "{short} licensed",
+    }
+    rows, want = [], []
+    for kind, _, _ in signatures.TEMPLATES:
+        for label, short, full in signatures.FAMILIES:
+            for s, f in itertools.zip_longest(short.split("|"), full.split("|")):
+                text = forms[kind].format(short=s or short.split("|")[0], full=(f or full.split("|")[0]).upper().replace(" ", "\n"))
+                rows.append((len(rows), text))
+                want.append(label)
+    for text, label in [("Released under the GPLv3", "gpl"), ("distributed under the terms of the GNU LGPL", "lgpl"), ("available under MIT", "mit"), ("a new-bsd file", "bsd"), ("simplified  BSD", "bsd"), ("plain words", "")]:
+        rows.append((len(rows), text))
+        want.append(label)
+    got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [(text, label) for (i, text), label in zip(rows, want, strict=True) if label not in got[i].split(",")] == []

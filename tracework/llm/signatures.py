@@ -1,12 +1,14 @@
 """License scans: ordered signature rules over normalised words, as DataFrame expressions only.
 
-A document takes part only if it holds one of the keywords.  Its words are then lower-cased and
-joined, each rule whose own keyword occurs is matched, and overlapping detections are resolved:
+The words of a document are lower-cased and joined.  It takes part only if one of the gate's
+patterns occurs there, which the rules give; each rule whose own keyword occurs is matched, and overlapping detections are resolved:
 a detection that lies inside one of an earlier rule (or in a longer one of the same rule) falls.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +64,22 @@ TEMPLATES = (
     ("short", "(?:{short})  licen[sc]ed?", 0.7),
 )
 
-#: Words without which no rule can match.
-KEYWORDS = r"(?i)licen[sc]e|spdx|public domain|creative commons|gnu affero|gnu gpl|gnu lesser|new bsd|attribution|berkeley"
+
+def _wide(names: str) -> str:
+    """``names`` as they stand in the joined words: each word between two blanks."""
+    return names.replace(" ", "  ")
+
+
+def gate() -> str:
+    """A pattern for the joined words that every match of a rule holds.
+
+    All but the grants hold a form of "license", "spdx" or a full name.  A grant holds its own
+    pattern up to the name, of any family.  Every counted phrase holds "license".
+    """
+    full = [n for _, _, names in FAMILIES for n in names.split("|") if not re.search("licen[sc]e", n)]
+    names = "|".join(s + "|" + f for _, s, f in FAMILIES)
+    grant = dict((kind, template) for kind, template, _ in TEMPLATES)["grant"].format(short=_wide(names), full="-")
+    return "licen[sc]e|spdx| (?:" + "|".join(map(_wide, full)) + ") | " + grant
 
 
 def signature_rules() -> list[tuple[int, str, str, str, float]]:
@@ -71,9 +87,8 @@ def signature_rules() -> list[tuple[int, str, str, str, float]]:
     rules = []
     for kind, template, sure in TEMPLATES:
         for label, short, full in FAMILIES:
-            wide = lambda names: names.replace(" ", "  ")  # noqa: E731  each word stands between two blanks
-            pattern = " " + template.format(short=wide(short), full=wide(full)) + " "
-            keyword = {"identifier": "spdx", "terms": " of  the", "copy": "copy  of", "grant": "ed  "}.get(kind, "")
+            pattern = " " + template.format(short=_wide(short), full=_wide(full)) + " "
+            keyword = {"identifier": "spdx", "terms": " of  the", "copy": "copy  of"}.get(kind, "")
             rules.append((len(rules), label, keyword, pattern, sure))
     return rules
 
@@ -92,10 +107,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     the surest one (1 for a counted phrase).
     """
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), NOT_WORD + "+"), "")
-    a = docs.select("doc_id", F.col("text").rlike(KEYWORDS).alias("gate"), words.alias("words"))
-    low = F.split(F.translate(F.array_join("words", " "), UPPER, LOWER), " ")
-    joined = F.when(F.col("gate"), F.concat(F.lit(" "), F.array_join(low, "  "), F.lit(" ")))
-    a = a.select("doc_id", F.size("words").cast("bigint").alias("n_words"), joined.alias("joined"))
+    a = docs.select("doc_id", words.alias("words"))
+    low = F.translate(F.array_join("words", "  "), UPPER, LOWER)
+    a = a.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.concat(F.lit(" "), low, F.lit(" ")).alias("joined"))
+    a = a.select("doc_id", "n_words", F.when(F.col("joined").rlike(gate()), F.col("joined")).alias("joined"))
     parts = [F.split("joined", f" {p.replace(' ', '  ')} ").alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)]
     rules = F.array(
         *[
