@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.oracle import connect, differences
 from tracework.llm import html, packing, queries, rans, setsketch, signatures, sql, tokenfile
 from tracework.llm.decontaminate import benchmark_spans, summarise
@@ -228,3 +229,15 @@ def test_every_license_rule_passes_the_gate(spark):
         want.append(label)
     got = {r.doc_id: r.labels for r in license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [(text, label) for (i, text), label in zip(rows, want, strict=True) if label not in got[i].split(",")] == []
+
+
+def test_pipeline_links_from_eighty_percent(spark):
+    words = [f"v{i}" for i in range(1000)]
+    pairs = []
+    for k in range(20):
+        own = [f"{w}k{k}" for w in words]
+        changed = own[:900] + [f"{w}y" for w in own[900:]]  # 896 of 1096 shingles: 81.8 %
+        pairs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(changed))]
+    docs = spark.createDataFrame(pairs, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == list(range(0, 40, 2))
+    assert all(r.kept for r in near_duplicates(docs).collect())

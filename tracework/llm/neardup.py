@@ -172,19 +172,21 @@ def _block_matcher(threshold: int):
     return match
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n: int = SHINGLE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, threshold: int = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, margin: float = MARGIN, m: int = REGISTERS
+) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per input row.
 
     Two documents are linked if 100 * |A & B| >= ``threshold`` * |A | B| for their sets of ``n``-word
     shingles.  A component's id is its least doc_id; ``kept`` marks the document of that id.
     Documents without words (null, empty or blank texts) are linked with nothing.  Rows that share
     a doc_id count as one document that is linked as any of them is.  A row with a null doc_id has
-    no component and is kept.  Other columns are not read; an empty table gives no rows.
+    no component and is kept.  Other columns are not read; an empty table gives no rows.  ``bands`` of
+    ``m / bands`` of the ``m`` registers propose pairs; estimates below ``threshold`` - 100 ``margin`` are dropped.
     """
-    m = REGISTERS
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, ka bigint, kb bigint, regs binary, bands array<bigint>"
-    signed = keep(rows.mapInArrow(_signer(n, m, BANDS), schema), "signatures")
+    signed = keep(rows.mapInArrow(_signer(n, m, bands), schema), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = keep(usable.groupBy("ka", "kb").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["ka", "kb", "doc_id"])
@@ -205,7 +207,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n: int = SHINGL
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b")
-        likely = likely.mapInArrow(_estimator(m, threshold / 100 - MARGIN), "a bigint, b bigint")
+        likely = likely.mapInArrow(_estimator(m, threshold / 100 - margin), "a bigint, b bigint")
         likely = keep(likely.distinct(), "likely")
         ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id")))
         own = sets.join(ids.distinct(), "doc_id", "left_semi")
