@@ -26,11 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session may do without it and gets a temporary folder; on a cluster that folder would
+    be the driver's own, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tracework-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tracework-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -57,16 +63,21 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive items of about ``most`` bytes together."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        total += size + 8
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def pieces(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``most`` bytes, so that word lists stay small."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"") + 8
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    return runs([len(text or b"") for text in texts], most)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:

@@ -1,69 +1,98 @@
 """Benchmark decontamination: windows of normalised test words, scanned in training text.
 
 A window is ``n`` consecutive words of a benchmark item; an item of fewer words, but not none,
-is one window.  The window index (a hash set with the exact windows behind it) is broadcast in
-blocks of bounded size, so a benchmark of any size works: each further block is one more pass
-over the documents, which carry the spans found so far.
+is one window.  The broadcast is a sorted array of window hashes with, for each, its item and the place of
+its words in the items' normalised text: hits of the hash set are verified on those words.  It takes about
+20 bytes a window beside the text and is broadcast in blocks of bounded size, so a benchmark of any size
+works: each further block is one more pass over the documents, which carry the spans found so far.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import LOWER, UPPER, cut, letter_words, pieces
+from .hashing import rolling
 
 WINDOW = 10
 #: Text bytes of benchmark items whose windows are broadcast at once.
 BLOCK_BYTES = 16_000_000
 
 _STATE = "text string, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def window_index(items: list[tuple[str | None, bytes | None]], n: int = WINDOW) -> tuple[dict, dict]:
-    """Word ids from 1, and for each window length its windows (packed word ids) with their items."""
-    vocabulary: dict[bytes, int] = {}
-    windows: dict[int, dict[bytes, set]] = {}
-    for item, text in items:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in letter_words(text)], np.uint32)
-        if len(ids):
-            size = min(n, len(ids))
-            known = windows.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                known.setdefault(ids[i : i + size].tobytes(), set()).add(item)
-    return vocabulary, windows
-
-
-def _hashes(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    h = np.zeros(len(starts), np.uint64)
-    for k in range(size):
-        h = (h ^ ids[starts + k].astype(np.uint64)) * _MIX
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def find_windows(ids: np.ndarray, windows: dict, hashed: dict) -> list[tuple[int, int, set]]:
-    """(start, length, items) of each place in ``ids`` (0: no benchmark word) where a window stands."""
-    filled = np.concatenate([[0], np.cumsum(ids != 0)])
-    found = []
-    for size, known in windows.items():
-        if len(ids) < size:
+
+
+@dataclass(frozen=True)
+class Windows:
+    """The windows of one length: hashes in order, and for each its item and its bytes in ``Index.text``."""
+
+    hashes: np.ndarray
+    items: np.ndarray
+    starts: np.ndarray
+    stops: np.ndarray
+
+
+@dataclass(frozen=True)
+class Index:
+    names: list[str | None]
+    text: bytes
+    windows: dict[int, Windows]
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def window_index(items: Iterable[tuple[str | None, bytes | None]], n: int = WINDOW) -> Index:
+    """The index of all windows of ``items``, item by item."""
+    names: list[str | None] = []
+    texts: list[bytes] = []
+    found: dict[int, list] = {}
+    at = 0
+    for name, text in items:
+        words = letter_words(text)
+        if not words:
             continue
-        starts = np.flatnonzero(filled[size:] - filled[:-size] == size)
-        if not len(starts):
+        size = min(n, len(words))
+        ends = at + np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[at], ends[:-1] + 1])
+        count = len(words) - size + 1
+        rows = rolling(_hashes(words), size), np.full(count, len(names), np.uint32), starts[:count].astype(np.uint32), ends[size - 1 :].astype(np.uint32)
+        found.setdefault(size, []).append(rows)
+        names.append(name)
+        texts.append(b" ".join(words))
+        at = int(ends[-1]) + 1
+    windows = {}
+    for size, parts in found.items():
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        windows[size] = Windows(*(c[order] for c in columns))
+    return Index(names, b" ".join(texts), windows)
+
+
+def find_windows(words: list[bytes], index: Index) -> list[tuple[int, int, set]]:
+    """(start, length, items) of each place in ``words`` where a window stands."""
+    x, found = _hashes(words), []
+    for size, known in index.windows.items():
+        if len(words) < size:
             continue
-        h, table = _hashes(ids, starts, size), hashed[size]
-        at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-        for s in starts[table[at] == h].tolist():
-            if items := known.get(ids[s : s + size].tobytes()):  # the hash set only proposes
+        h = rolling(x, size)
+        low = np.searchsorted(known.hashes, h)
+        for s in np.flatnonzero(known.hashes[np.minimum(low, len(known.hashes) - 1)] == h).tolist():
+            here, items, k = b" ".join(words[s : s + size]), set(), int(low[s])
+            while k < len(known.hashes) and known.hashes[k] == h[s]:
+                if index.text[known.starts[k] : known.stops[k]] == here:  # the hash set only proposes
+                    items.add(index.names[known.items[k]])
+                k += 1
+            if items:
                 found.append((s, size, items))
     return found
 
@@ -80,11 +109,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 def _scanner(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, windows = shared.value
-        hashed = {}
-        for size, known in windows.items():
-            ids = np.frombuffer(b"".join(known), np.uint32)
-            hashed[size] = np.sort(_hashes(ids, np.arange(len(known)) * size, size))
+        index = shared.value
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             counts, spans, items = [], batch.column("spans").to_pylist(), batch.column("items").to_pylist()
@@ -95,8 +120,7 @@ def _scanner(shared):
                     ends.append(len(words))
                     words.append(b"")  # no window reaches over the end of a document
                 counts += np.diff(np.array([-1, *ends])).tolist()
-                ids = np.fromiter(map(vocabulary.get, words, repeat(0)), np.uint32, len(words))
-                found = find_windows(ids, windows, hashed)
+                found = find_windows(words, index)
                 owners = np.searchsorted(ends, [s for s, _, _ in found], side="right").tolist()
                 grown: dict[int, list] = {}
                 for doc, (s, size, names) in zip(owners, found, strict=True):
@@ -145,7 +169,7 @@ def benchmark_spans(
     )
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        index = window_index([(r.item, bytes(r.text) if r.text is not None else None) for r in part.collect()], n)
+        index = window_index(((r.item, None if r.text is None else bytes(r.text)) for r in part.toLocalIterator()), n)
         state = state.mapInArrow(_scanner(spark.sparkContext.broadcast(index)), schema)
         if k + 1 < blocks:
             state = cut(state)

@@ -9,7 +9,11 @@ _A, _B = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
 
 def pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
-    h = (a + _U(seed)) * _A + b
+    """A hash of each (a, b).  The seed enters before a mix of ``a`` that is not linear, so that pairs that
+    collide under one seed do not under others."""
+    h = (a ^ _U(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * _A
+    h ^= h >> _U(31)
+    h = (h + b) * _A
     h ^= h >> _U(32)
     h *= _B
     h ^= h >> _U(29)

@@ -3,8 +3,7 @@
 Within a partition documents stream into pools of about ``WINDOWS`` windows; whatever exceeds a
 window is cut off as full windows first.  A pool's pieces become partial partitions, and the two
 with the widest spread are merged with opposing imbalances until one near-equal partition is left.
-What a window has above the capacity is cut off and goes where there is room; if that is more than
-``TRIM`` tokens, the pool is partitioned again into one window more.
+If one of its windows exceeds the capacity, the pool is partitioned again into one window more.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ from .tokens import encoder
 
 CAPACITY = 2048
 END = 1
-#: Windows of a pool, and the most tokens that are cut off one window.
-WINDOWS, TRIM = 48, 256
+#: Windows of a pool, and the room that is left in it, so that near-equal windows all fit.
+WINDOWS, SPARE = 96, 512
+#: Tokens of a pool that are cut into small pieces of so many tokens, which level its windows.
+FINE, SMALL = 8192, 64
 
 _DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -61,57 +62,45 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return groups
 
 
-def windows(sizes: list[int], capacity: int = CAPACITY, trim: int = TRIM) -> list[list[tuple[int, int, int]]]:
-    """Parts (index, start, length) of ``sizes`` in windows of at most ``capacity``; no size may exceed it."""
+def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Indices of ``sizes`` in windows of at most ``capacity``, as few as differencing finds; no size may exceed it."""
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         groups = [g for g in difference(sizes, k) if g]
-        sums = [sum(sizes[i] for i in g) for g in groups]
-        if max(sums, default=0) <= capacity + trim and sum(sums) <= capacity * len(groups):
-            break
+        if all(sum(sizes[i] for i in g) <= capacity for g in groups):
+            return groups
         k += 1
-    out, cut = [], []
-    for group, total in zip(groups, sums, strict=True):
-        parts = [(i, 0, sizes[i]) for i in group]
-        while total > capacity:
-            i, start, length = max(parts, key=lambda p: p[2])
-            parts.remove((i, start, length))
-            over = min(total - capacity, length)
-            if length > over:
-                parts.append((i, start, length - over))
-            cut.append((i, start + length - over, over))
-            total -= over
-        out.append(parts)
-    for parts in out:
-        room = capacity - sum(p[2] for p in parts)
-        while cut and room:
-            i, start, length = cut.pop()
-            parts.append((i, start, min(room, length)))
-            if length > room:
-                cut.append((i, start + room, length - room))
-            room -= min(room, length)
+
+
+def levelled(pool: list[tuple]) -> list[tuple]:
+    """``pool`` of (name, ids, start, length) with its last ``FINE`` tokens in pieces of ``SMALL``."""
+    out, fine = [], 0
+    for name, data, start, length in reversed(pool):
+        step = SMALL if fine < FINE else length
+        out += [(name, data, start + at, min(step, length - at)) for at in range(0, length, step)]
+        fine += length
     return out
 
 
 def _packer(tokenizer: str, kind: str, capacity: int, pool_windows: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, kind).encode, np.array([END], "<u4").tobytes()
+        encode, end = encoder(tokenizer, kind), np.array([END], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         pool: list[tuple] = []  # doc_id, ids, start, length
-        filled, target = 0, pool_windows * capacity
+        filled, target = 0, pool_windows * capacity - SPARE
 
         def piece(doc_id, data: bytes, start: int, length: int) -> tuple:
             return doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4
 
         def close() -> None:
             nonlocal sequence, pool, filled
+            pool = levelled(pool)
             for group in windows([p[3] for p in pool], capacity):
                 offset = 0
-                for i, skip, length in group:
-                    doc_id, data, start, _ = pool[i]
-                    rows.append((*piece(doc_id, data, start + skip, length), sequence, offset))
-                    offset += length
+                for i in group:
+                    rows.append((*piece(*pool[i]), sequence, offset))
+                    offset += pool[i][3]
                 sequence += 1
             pool, filled = [], 0
 
@@ -121,8 +110,9 @@ def _packer(tokenizer: str, kind: str, capacity: int, pool_windows: int):
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _DDL.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = encode(text.as_py()) + end
+            coded = (ids for part_of in encode.batches(batch.column(1)) for ids in part_of)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+                data = ids + end
                 start, n = 0, len(data) // 4
                 while n - start >= capacity:
                     rows.append((*piece(doc_id, data, start, capacity), sequence, 0))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-from importlib.util import find_spec
-
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from .common import shared_path, table
@@ -20,10 +18,8 @@ from .substrings import repeated_words, without_repeats
 from .tokenfile import read_token_file, write_token_file
 from .urls import url_filter
 
-#: The folder of public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or (
-    os.path.dirname(spec.origin) if (spec := find_spec("public_tokenizers")) else "/opt/tokenizers"
-)
+#: Default tokenizer files; every operator takes the path as a parameter.
+BYTE_FILE, WORD_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -32,7 +28,7 @@ def op1_quality_rules(spark, sf_dir):
 
 
 def op2_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), BYTE_FILE)
 
 
 def op3_secret_scan(spark, sf_dir):
@@ -54,7 +50,7 @@ def op6_near_dedup(spark, sf_dir):
 
 def op7_token_file(spark, sf_dir):
     path = shared_path(spark, "tokens")
-    write_token_file(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    write_token_file(table(spark, sf_dir, "documents"), path, WORD_FILE)
     return read_token_file(spark, path)
 
 

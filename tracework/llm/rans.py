@@ -19,7 +19,9 @@ _U = np.uint64
 
 def frequencies(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct symbols in order and their frequencies, each 1 at least, 2 ** SCALE in all."""
-    names, counts = np.unique(symbols, return_counts=True)
+    counts = np.bincount(symbols)
+    names = np.flatnonzero(counts)
+    counts = counts[names]
     if len(names) > 1 << (SCALE - 2):
         raise ValueError(f"{len(names)} symbols are too many for {SCALE} bits")
     freq = np.maximum(1, counts.astype(np.float64) * (1 << SCALE) / counts.sum()).astype(np.int64)
@@ -36,7 +38,9 @@ def frequencies(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode(symbols: np.ndarray, names: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """States (blocks x LANES) and each block's words; the last block is filled up with its last symbol."""
     blocks = -(-len(symbols) // BLOCK)
-    index = np.searchsorted(names, symbols)
+    place = np.zeros(int(names[-1]) + 1, np.int32)  # a table from symbol to index: no search per symbol
+    place[names] = np.arange(len(names))
+    index = place[symbols]
     index = np.concatenate([index, np.full(blocks * BLOCK - len(index), index[-1])]).reshape(blocks, STEPS, LANES)
     f, c = freq.astype(_U), (np.cumsum(freq) - freq).astype(_U)
     x = np.full((blocks, LANES), _LOW, _U)

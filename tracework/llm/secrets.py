@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and identifiers.
 
-DataFrame and SQL expressions only.  Two first-order models, of secrets and of ordinary
-identifiers, are trained on labelled samples; a token of mixed letters and digits is a secret if the
-mean log-likelihood ratio of its character pairs says so.
+DataFrame and SQL expressions only.  First-order models, one of each labelled kind of secrets and
+one of ordinary identifiers, are trained on labelled samples; a token of mixed letters and digits is
+a secret if the mean log-likelihood ratio of its character pairs says so for any kind.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 @dataclass(frozen=True)
 class Training:
-    #: Most documents with, and without, labelled secrets that a model is trained on.
+    #: Documents with, and without, labelled secrets that a model is trained on, about, and at most twice as many.
     documents: int = 1000
     #: Pseudo-count of every pair of characters.
     smoothing: float = 0.5
     #: Mean log-likelihood ratio from which a token is a secret.
-    ratio: float = 0.6
+    ratio: float = 0.45
 
 
 def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> Column:
@@ -70,52 +70,63 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, training: Training = Training()) -> DataFrame:
-    """``token, secret``: values of the fixed patterns, and ordinary identifiers of other documents,
-    from at most ``training.documents`` documents of each sort, in the order of a hash."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    marked = F.col("text").rlike("|".join(f"(?:{p})" for _, p, _, _ in BASE))
-    some = lambda df: df.orderBy("h", "doc_id").limit(training.documents)
-    found = _base(some(rows.where(marked))).select(F.explode(F.concat(*[k for k, *_ in BASE])).alias("s"))
-    plain = some(rows.where(~marked)).select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z_-]{5,})"), F.lit(1))).alias("token"))
-    secrets = found.select(F.col("s.value").alias("token"), F.lit(True).alias("secret"))
-    return secrets.unionByName(plain.select("token", F.lit(False).alias("secret")))
-
+    """``kind, token``: values of the fixed patterns by their kind, and ordinary identifiers (kind null) of
+    other documents.
 
-def train(sample: DataFrame, training: Training = Training()) -> list[float]:
-    """Log-likelihood ratios of all pairs of the alphabet, row by row; all 0 without secrets to learn from."""
+    About ``training.documents`` documents of each sort take part: one count gives the share, and those
+    whose hash falls below it are read again where they are, so no text is sorted or shuffled.
+    """
+    marked = F.col("text").rlike("|".join(f"(?:{p})" for _, p, _, _ in BASE))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = rows.agg(F.count_if(marked).alias("marked"), F.count_if(~marked).alias("plain")).first()
+    least = {k: min(1.0, training.documents / max(1, n[k])) for k in ("marked", "plain")}
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.where(place <= max(least.values()))
+    some = lambda sort, holds: rows.where(holds & (place <= least[sort])).limit(2 * training.documents)
+    found = _base(some("marked", marked)).select(F.explode(F.concat(*[k for k, *_ in BASE])).alias("s"))
+    plain = some("plain", ~marked).select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z0-9_-]{5,})"), F.lit(1))).alias("token"))
+    secrets = found.select(F.col("s.kind").alias("kind"), F.col("s.value").alias("token"))
+    return secrets.unionByName(plain.select(F.lit(None).cast("string").alias("kind"), "token"))
+
+
+def train(sample: DataFrame, training: Training = Training()) -> dict[str, list[float]]:
+    """Per kind of secrets the log-likelihood ratios of all pairs of the alphabet, row by row."""
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2)))).alias("pair")
-    counts = sample.where(F.length("token") >= 2).select("secret", pair).groupBy("secret", "pair").count()
-    n = {(r.secret, r.pair): r["count"] for r in counts.where(F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$")).collect()}
-    if not any(s for s, _ in n):
-        return [0.0] * len(ALPHABET) ** 2
+    counts = sample.where(F.length("token") >= 2).select("kind", pair).groupBy("kind", "pair").count()
+    n = {(r.kind, r.pair): r["count"] for r in counts.where(F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$")).collect()}
     before: dict = {}
-    for (s, p), c in n.items():
-        before[s, p[0]] = before.get((s, p[0]), 0) + c
+    for (kind, p), c in n.items():
+        before[kind, p[0]] = before.get((kind, p[0]), 0) + c
     k, v = training.smoothing, len(ALPHABET)
-    share = lambda s, p: math.log((n.get((s, p), 0) + k) / (before.get((s, p[0]), 0) + k * v))
-    return [round(share(True, a + b) - share(False, a + b), 4) for a in ALPHABET for b in ALPHABET]
+    share = lambda kind, p: math.log((n.get((kind, p), 0) + k) / (before.get((kind, p[0]), 0) + k * v))
+    kinds = sorted({kind for kind, _ in n} - {None})
+    return {kind: [round(share(kind, a + b) - share(None, a + b), 4) for a in ALPHABET for b in ALPHABET] for kind in kinds}
 
 
-def secret_scan(docs: DataFrame, ratios: list[float], training: Training = Training()) -> DataFrame:
+def secret_scan(docs: DataFrame, ratios: dict[str, list[float]], training: Training = Training()) -> DataFrame:
     """``doc_id, text, assign, access, hex, markov``: spans (start, stop in code points, stop exclusive).
 
-    One row per input row; null texts count as empty, empty texts have no spans; other columns are
-    left out.  A Markov span never overlaps a span of the fixed patterns, which stay as they are.
+    One row per input row, repeated rows included; null texts count as empty, empty texts have no
+    spans, an empty table gives no rows; texts of any length are scanned whole; other columns are left
+    out, so clashing names do no harm.  A Markov span never overlaps a span of the fixed patterns, which
+    stay as they are; without labelled secrets (no ``ratios``) there are none.
     """
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    mean = (
-        "aggregate(transform(sequence(1, length(s.value) - 1), i -> coalesce(get(ratios, "
-        f"(instr('{ALPHABET}', substring(s.value, i, 1)) - 1) * {len(ALPHABET)} + instr('{ALPHABET}', substring(s.value, i + 1, 1)) - 1), 0D)), "
-        "0D, (a, x) -> a + x) / (length(s.value) - 1)"
-    )
-    a = _base(docs).withColumn("token", _spans("markov", len(BASE), TOKEN, 1, 20)).withColumn("ratios", F.when(F.size("token") > 0, table))
+    a = _base(docs).withColumn("token", _spans("markov", len(BASE), TOKEN, 1, 20))
     known = F.concat(*[k for k, *_ in BASE])
     apart = F.filter(
         F.filter("token", lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")),
         lambda t: ~F.exists(known, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
     )
     a = a.withColumn("token", apart)
-    a = a.withColumn("markov", F.expr(f"filter(token, s -> {mean} >= {training.ratio}D)"))
+    place = f"(instr('{ALPHABET}', substring(s.value, i, 1)) - 1) * {len(ALPHABET)} + instr('{ALPHABET}', substring(s.value, i + 1, 1)) - 1"
+    means = []
+    for i, (_, row) in enumerate(sorted(ratios.items())):
+        table = F.split(F.lit(",".join(map(str, row))), ",").cast("array<double>")
+        a = a.withColumn(f"ratios{i}", F.when(F.size("token") > 0, table))
+        pairs = f"transform(sequence(1, length(s.value) - 1), i -> coalesce(get(ratios{i}, {place}), 0D))"
+        means.append(f"aggregate({pairs}, 0D, (a, x) -> a + x) / (length(s.value) - 1)")
+    is_secret = " or ".join(f"{mean} >= {training.ratio}D" for mean in means) or "false"
+    a = a.withColumn("markov", F.expr(f"filter(token, s -> {is_secret})"))
     return a.select("doc_id", "text", *[k for k, *_ in BASE], "markov")
 
 

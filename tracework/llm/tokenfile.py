@@ -74,7 +74,7 @@ def unpack_segment(row: dict) -> np.ndarray:
 
 def _writer(tokenizer: str, kind: str, segment: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = encoder(tokenizer, kind).encode, TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
         end = np.array([END], "<u4").tobytes()
         names: list[int | None] = []
         data: list[bytes] = []
@@ -86,9 +86,10 @@ def _writer(tokenizer: str, kind: str, segment: int):
             return pa.RecordBatch.from_pylist([row], schema=_SEGMENTS)
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            coded = (ids for part_of in encode.batches(batch.column(1)) for ids in part_of)
+            for name, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 names.append(name)
-                data.append(encode(text.as_py()) + end)
+                data.append(ids + end)
                 size += len(data[-1]) // 4
                 if size >= segment:
                     yield close()
@@ -103,11 +104,12 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, kind: str = "wo
     """Writes the ids of every row's whole text, each followed by id 1, to ``path``.
 
     Null and empty texts have the end id alone.  Rows with a null doc_id come first; rows of one
-    doc_id stand side by side.  Other columns are not read.  A segment closes behind the document
+    doc_id stand side by side, in the order of their texts.  Other columns are not read, so clashing
+    names do no harm; an empty table makes an empty file set.  A segment closes behind the document
     that fills it, so a very long text makes one long segment.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
     rows.mapInArrow(_writer(tokenizer, kind, segment), _DDL).write.parquet(path)
 
 
@@ -132,7 +134,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files at ``path``."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files at ``path``.
+
+    One row per written row, repeated rows and null ids included; an empty file set gives no rows; a
+    block that fails its checksum is an error.  A task holds one segment, so a document must fit into
+    a task.  The window over the parts sees one row per write task.
+    """
     rows = spark.read.schema(_DDL).parquet(path)
     read = rows.mapInArrow(
         _read, "part bigint, seq bigint, doc_id bigint, within bigint, n_tokens bigint, ids_crc32 bigint"

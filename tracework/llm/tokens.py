@@ -1,34 +1,40 @@
-"""Token ids of whole texts, as packed little-endian integers.
+"""Token ids of whole texts, by the ``tokenizers`` library, as packed little-endian integers.
 
-``WordEncoder`` runs the steps of a word-level tokenizer file (lower case, white space dropped): each
-distinct piece goes through the ``tokenizers`` model once, and two generations of a bounded cache
-keep the frequent ones.  ``ByteEncoder`` runs a byte-level BPE file's vocabulary through
-``tiktoken``, whose ids are the same (the tests compare them) at several times the speed.
+Most of a corpus are words seen before.  The texts of a batch are cut where no token can reach over
+the cut, pyarrow finds the distinct units, and each of them goes through the library once; two
+generations of a bounded cache keep what is frequent.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
-import struct
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
-#: Entries of one generation of the cache, and the longest piece that is kept.
-CACHE, CACHED_CHARS = 250_000, 40
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: The pattern by which the byte-level file cuts texts, and the ends it knows as words.
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CLITICS = r"'s|'t|'re|'ve|'m|'ll|'d"
+from .common import runs
 
-#: Texts of these letters are lower-cased and cut here as the library does it; they are composed already.
-PLAIN = re.compile(r"[\x00-įı-ɏ]*").fullmatch
-_LETTERS = r"a-zA-ZªµºÀ-ÖØ-öø-ɏ"
-_NUMBERS = r"0-9²³¹¼-¾"
-_PIECES = re.compile(
-    rf"[{_LETTERS}]+|[{_NUMBERS}]|{CLITICS}|[^{_LETTERS}{_NUMBERS}\x09-\x0D\x20\x85\xA0]+"
-).findall
+#: Entries of one generation of the cache, and the longest unit that is kept.
+CACHE, CACHED_CHARS = 200_000, 40
+
+#: White space as Unicode's White_Space property has it.
+_WHITE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: A blank between white space: the one place before a blank where a byte-level token may reach over.
+_AMID = f"[{_WHITE}] [{_WHITE}]"
+#: What marks the cuts: code points that are no characters; one that no text of a batch holds is taken.
+_MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
+
+#: Word-level units of these letters are lower-cased and cut here as the library does it; they are composed already.
+_PLAIN = re.compile("[\x00-įı-ɏ]*").fullmatch
+_LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
+_NUMBERS = "0-9²³¹¼-¾"
+#: The ends that the word-level file knows as words.
+_CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PIECES = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|{_CLITICS}|[^{_LETTERS}{_NUMBERS}\x09-\x0D\x20\x85\xA0]+").findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,77 +44,93 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """Computes what it lacks; when full it starts anew and still looks into the generation before."""
-
-    def __init__(self, compute) -> None:
-        super().__init__()
-        self.compute, self.old = compute, {}
+class Encoder:
+    """Encodes batches of texts with a tokenizer file.
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+    ``kind`` "byte": a byte-level file, where a token may begin with the blank before a word;
+    "word": a word-level one, where tokens hold no white space.
+    """
 
-
-class WordEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kind: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such a string in a text is ordinary text
-        self.model = self.tokenizer.model
+        self.kind = kind
+        self.units: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before
+        self.parts: dict[str, bytes] = {}
         self.letters = _byte_letters()
-        self.pieces = _Cache(self._piece)
-
-    def _piece(self, piece: str) -> bytes:
-        if not (piece.isascii() and piece.isalnum()):
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of the text as unsigned 32-bit little-endian bytes; none for null or empty."""
-        if not text:
-            return b""
-        if text.isascii() or PLAIN(text):
-            return b"".join(map(self.pieces.__getitem__, _PIECES(text.lower())))
-        out = []
-        for chunk in text.split(" "):  # no token holds a blank
-            if PLAIN(chunk):
-                out += map(self.pieces.__getitem__, _PIECES(chunk.lower()))
+        """Ids of one text as unsigned 32-bit little-endian bytes; none for null or empty."""
+        return next(self.batches(pa.array([text], pa.string())))[0]
+
+    def batches(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """The ids of all texts in order, a few megabytes of text at a time."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for a, b in runs(sizes, 4_000_000):
+            yield self._batch(pc.fill_null(texts.slice(a, b - a), ""))
+
+    def _batch(self, texts: pa.Array) -> list[bytes]:
+        mark = next((m for m in _MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
+        if mark is None:
+            return self._known(texts.to_pylist())
+        cut = pc.replace_substring(texts, " ", f"{mark} ")
+        if self.kind == "byte":  # such texts are one unit each
+            cut = pc.if_else(pc.match_substring_regex(texts, _AMID), texts, cut)
+        units = pc.split_pattern(cut, mark)
+        named = units.flatten().dictionary_encode()
+        ids = self._known(named.dictionary.to_pylist())
+        lengths = np.array([len(x) for x in ids], np.int64) // 4
+        starts, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ids), "<u4")
+        index = named.indices.to_numpy()
+        n = lengths[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = pool[np.repeat(starts[index] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        stops = (4 * ends[units.offsets.to_numpy() - units.offsets[0].as_py()]).tolist()
+        return [out[a:b] for a, b in zip(stops, stops[1:])]
+
+    def _known(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units; those that neither generation of the cache holds are encoded."""
+        out = list(map(self.units.get, units))
+        unseen = [i for i, ids in enumerate(out) if ids is None]
+        for i in unseen:
+            out[i] = self.old.get(units[i])
+        missing = [i for i in unseen if out[i] is None]
+        new = [units[i] for i in missing]
+        for i, ids in zip(missing, self._words(new) if self.kind == "word" else self._library(new), strict=True):
+            out[i] = ids
+        if len(self.units) + len(unseen) > CACHE:
+            self.old, self.units = self.units, {}
+        self.units.update((units[i], out[i]) for i in unseen if len(units[i]) <= CACHED_CHARS)
+        return out
+
+    def _library(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _words(self, units: list[str]) -> Iterator[bytes]:
+        for unit in units:
+            low = unit.lower()
+            if _PLAIN(unit) and _PLAIN(low):
+                yield b"".join(map(self._part, _PIECES(low)))
             else:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return b"".join(out)
+                yield self._library([unit])[0]
 
-
-class ByteEncoder:
-    def __init__(self, path: str) -> None:
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"] if t["special"]}
-        byte_of = {letter: b for b, letter in _byte_letters().items()}
-        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.encoding = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of the text as unsigned 32-bit little-endian bytes; none for null or empty."""
-        ids = array("I", self.encoding.encode_ordinary(text or ""))
-        return ids.tobytes()
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            letters = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+            if len(part) <= CACHED_CHARS:
+                if len(self.parts) >= CACHE:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, kind: str) -> WordEncoder | ByteEncoder:
+def encoder(path: str, kind: str) -> Encoder:
     """One encoder per worker process and tokenizer file; ``kind``: "word" or "byte"."""
-    return {"word": WordEncoder, "byte": ByteEncoder}[kind](path)
+    return Encoder(path, kind)
