@@ -1,8 +1,10 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, secret redaction, packing.
 
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and works on all rows that the stage before
-kept.  All but the last return the columns of ``docs``.  Repeated rows and null ids are treated as the
-operators state it; extra columns are carried along.
+kept.  All but the last return the columns of ``docs``, extra ones included.  Null and empty texts fail the
+quality rules; where a later stage meets them they stay, without hits, and give one end id in packing.
+Texts of any length are worked on whole; an empty table gives no rows at every stage; repeated rows and null
+ids are treated as the stages and operators state it.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracework.llm.common import keep, table
+from tracework.llm.common import SPACE, keep, table
 from tracework.llm.decontaminate import benchmark_spans
 from tracework.llm.neardup import near_duplicates
 from tracework.llm.packing import pack_documents
 from tracework.llm.quality import quality
-from tracework.llm.queries import TOKENIZERS
+from tracework.llm.queries import BYTE_FILE
 from tracework.llm.secrets import labelled_sample, redacted, secret_scan, train
 
 #: SQL cannot express the packing stage.
@@ -56,11 +58,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id; of rows that share a
-    doc_id one stays; rows without an id stay."""
+    """One document of each group of near-duplicates, the one with the least id.
+
+    Rows that share a doc_id are linked as one document; of those that stay, rows of equal words are one,
+    and rows of one id with different words all stay.  Rows without an id stay.
+    """
     kept = near_duplicates(docs, **SIMILAR).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", first).where("_nth = 1")
+    words = F.xxhash64(F.regexp_replace(F.lower("text"), SPACE + "+", " "), F.lower("text").isNull())
+    # the join deals rows by doc_id already, so the window needs no further shuffle
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_words", words)
+    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id",) and not docs.schema[c].dataType.typeName().startswith(("map", "variant"))]
+    first = F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(*others))
+    one = rows.withColumn("_nth", first).where("_nth = 1")
     return one.select(*_names(docs)).unionByName(docs.where("doc_id is null"))
 
 
@@ -78,7 +87,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    return pack_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pack_documents(docs, BYTE_FILE)
 
 
 STAGES = [
