@@ -183,7 +183,7 @@ def bijection_counts(spark, sf_dir):
 @query(f"""WITH {_units_sql()}, s AS (SELECT *, row_number() OVER (PARTITION BY a.session_id, event_id ORDER BY start_ts, end_ts) AS rn FROM a JOIN (SELECT session_id AS us, start_ts, end_ts FROM units) u ON us = a.session_id AND t BETWEEN start_ts AND end_ts)
 SELECT session_id, event_id, round((t - start_ts) / greatest(end_ts - start_ts, 1), 6) AS position FROM s WHERE rn = 1""")
 def relative_position(spark, sf_dir):
-    inside = I.containment(_units(spark, sf_dir), activity(spark, sf_dir), "session_id", "t")
+    inside = I.containment(_units(spark, sf_dir), activity(spark, sf_dir), "session_id", "t", how="inner")
     w = Window.partitionBy("session_id", "event_id").orderBy("start_ts", "end_ts")
     pos = F.round((F.col("t") - F.col("start_ts")) / F.greatest(F.col("end_ts") - F.col("start_ts"), F.lit(1)), 6)
     return inside.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("session_id", "event_id", pos.alias("position"))
@@ -334,12 +334,12 @@ def payload_guard(spark, sf_dir):
 
 
 def queries():
-    from . import reports, unit_reports  # noqa: F401  they register their queries
+    from . import log_reports, reports, unit_reports  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from . import reports, unit_reports  # noqa: F401
+    from . import log_reports, reports, unit_reports  # noqa: F401
 
     return dict(_SQL)

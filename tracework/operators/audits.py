@@ -28,11 +28,11 @@ def randomisation_test(df: DataFrame, ident: str, value: str, group: Column, dra
 
 
 def purity(df: DataFrame, label: str, other: str) -> DataFrame:
-    """Per label its most frequent ``other`` (the smaller on a tie) and that one's share."""
+    """``label, top, votes, total, share, purity``: per label its most frequent ``other`` (the smaller on a tie) and that one's share."""
     n = df.groupBy(label, other).agg(F.count("*").alias("n"))
     w = Window.partitionBy(label)
     n = n.withColumn("total", F.sum("n").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("n"), other)))
-    return n.where("_r = 1").select(label, F.col(other).alias("top"), "total", F.round(F.col("n") / F.col("total"), 6).alias("purity"))
+    return n.where("_r = 1").select(label, F.col(other).alias("top"), F.col("n").alias("votes"), "total", (F.col("n") / F.col("total")).alias("share"), F.round(F.col("n") / F.col("total"), 6).alias("purity"))
 
 
 def indexed_quantiles(df: DataFrame, label: str, value: str, shares: dict[str, float]) -> DataFrame:

@@ -98,7 +98,7 @@ def permutation_test(spark, sf_dir):
 @query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) SELECT lang, source AS top, CAST(sum(n) OVER (PARTITION BY lang) AS BIGINT) AS total, round(n / sum(n) OVER (PARTITION BY lang), 6) AS purity
 FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) = 1""")
 def purity(spark, sf_dir):
-    return U.purity(table(spark, sf_dir, "documents").select("lang", "source"), "lang", "source")
+    return U.purity(table(spark, sf_dir, "documents").select("lang", "source"), "lang", "source").drop("votes", "share")
 
 
 @query("""SELECT o_orderpriority AS mode, count(*) AS n, list_sort(list(CAST(round(o_totalprice * 100) AS BIGINT)))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50,
