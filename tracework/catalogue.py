@@ -199,18 +199,42 @@ def _edges(units, bounds):
 _EDGES = "SELECT DISTINCT session_id, bin FROM (SELECT session_id, unnest([floor((start_ts - t0) / 3600000000), ceil((end_ts - t0) / 3600000000)]) AS bin, ceil((t1 - t0) / 3600000000) AS n FROM {} JOIN bd USING (session_id)) WHERE bin > 0 AND bin < n"
 
 
-@query(f"""WITH RECURSIVE {_units_sql()}, {_GROUPS}, bd AS (SELECT session_id, min(t) AS t0, max(t) AS t1 FROM a GROUP BY 1),
-g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY bin) AS i FROM ({_EDGES.format('units')})), p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY bin) AS j FROM ({_EDGES.format('pred')})),
-r AS (SELECT DISTINCT session_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, 0 AS tp FROM g UNION ALL
-  SELECT r.session_id, CASE WHEN p.bin < g.bin - 2 THEN r.i ELSE r.i + 1 END, CASE WHEN p.bin > g.bin + 2 THEN r.j ELSE r.j + 1 END, r.tp + CASE WHEN abs(p.bin - g.bin) <= 2 THEN 1 ELSE 0 END
-  FROM r JOIN g ON g.session_id = r.session_id AND g.i = r.i JOIN p ON p.session_id = r.session_id AND p.j = r.j)
-SELECT session_id, CAST(max(tp) AS INTEGER) AS tp, (SELECT count(*) FROM g WHERE g.session_id = r.session_id) AS n_gold, (SELECT count(*) FROM p WHERE p.session_id = r.session_id) AS n_pred FROM r GROUP BY 1""")
-def boundary_prf(spark, sf_dir):
+def _match_sql(gold: str, pred: str, tolerances=(2, 5, 10)) -> str:
+    """CTEs g, p, r and ``sc``: matched boundaries of every session of bd and tolerance, by a recursive sweep."""
+    tols = ", ".join(f"({t})" for t in tolerances)
+    return f"""g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY bin) AS i FROM ({gold})), p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY bin) AS j FROM ({pred})), tl AS (SELECT * FROM (VALUES {tols}) t(tol)),
+r AS (SELECT DISTINCT session_id, tol, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, 0 AS tp FROM g, tl UNION ALL
+  SELECT r.session_id, tol, CASE WHEN p.bin < g.bin - tol THEN r.i ELSE r.i + 1 END, CASE WHEN p.bin > g.bin + tol THEN r.j ELSE r.j + 1 END, r.tp + CASE WHEN abs(p.bin - g.bin) <= tol THEN 1 ELSE 0 END
+  FROM r JOIN g ON g.session_id = r.session_id AND g.i = r.i JOIN p ON p.session_id = r.session_id AND p.j = r.j),
+sc AS (SELECT bd.session_id, tl.tol, coalesce((SELECT max(tp) FROM r WHERE r.session_id = bd.session_id AND r.tol = tl.tol), 0) AS tp, (SELECT count(*) FROM g WHERE g.session_id = bd.session_id) AS n_gold,
+  (SELECT count(*) FROM p WHERE p.session_id = bd.session_id) AS n_pred FROM bd, tl)"""
+
+
+_PRF = """round(CASE WHEN n_gold = 0 AND n_pred = 0 THEN 1.0 WHEN n_pred = 0 THEN 0.0 ELSE tp / n_pred END, 6) AS precision, round(CASE WHEN n_gold = 0 AND n_pred = 0 THEN 1.0 WHEN n_gold = 0 THEN 0.0 ELSE tp / n_gold END, 6) AS recall,
+round(CASE WHEN n_gold = 0 AND n_pred = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 2 * tp / (n_gold + n_pred) END, 6) AS f1"""
+_BDS = "bd AS (SELECT session_id, min(t) AS t0, max(t) AS t1 FROM a GROUP BY 1)"
+_SCORED = f"WITH RECURSIVE {_units_sql()}, {_GROUPS}, {_BDS}, {_match_sql(_EDGES.format('units'), _EDGES.format('pred'))}"
+
+
+def _scores(spark, sf_dir, tolerances=(2, 5, 10)) -> DataFrame:
+    """Matched boundaries of the gap sessions against the bracketed units."""
     bounds = B.bounds(activity(spark, sf_dir), "session_id", "t")
     gold = _edges(_units(spark, sf_dir), bounds).withColumnRenamed("bins", "g")
     pred = _edges(_pred(spark, sf_dir), bounds).withColumnRenamed("bins", "p")
-    both = gold.join(pred, "session_id", "left").withColumn("p", F.coalesce("p", F.expr("cast(array() as array<bigint>)")))
-    return both.select("session_id", S.boundary_matches(F.col("g"), F.col("p"), 2).alias("tp"), F.size("g").cast("bigint").alias("n_gold"), F.size("p").cast("bigint").alias("n_pred"))
+    return S.boundary_scores(gold, pred, bounds, "session_id", tolerances)
+
+
+@query(f"{_SCORED} SELECT *, {_PRF} FROM sc")
+def boundary_prf(spark, sf_dir):
+    """Precision, recall and F1 of boundaries in every session, sessions without any on either side included."""
+    return _scores(spark, sf_dir).withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
+
+
+@query(f"{_SCORED}, t AS (SELECT tol, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_pred) AS BIGINT) AS n_pred FROM sc GROUP BY 1) SELECT *, {_PRF} FROM t")
+def boundary_totals(spark, sf_dir):
+    """The same over all sessions; boundaries are matched within a session only."""
+    t = _scores(spark, sf_dir).groupBy("tol").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")])
+    return t.withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
 
 
 def _marks(spark, sf_dir):
@@ -261,11 +285,10 @@ def term_majority(spark, sf_dir):
     return R.majority(activity(spark, sf_dir), "k", "event_type", 5)
 
 
-@query("""WITH v AS (SELECT l_suppkey, l_linestatus, count(*) AS votes FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2)
-SELECT l_suppkey, l_linestatus, votes FROM v QUALIFY count(*) OVER (PARTITION BY l_suppkey) = 1 AND votes >= 2""")
+@query("""WITH v AS (SELECT l_orderkey, l_linestatus, count(*) AS votes FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, l_linestatus, votes FROM v QUALIFY count(*) OVER (PARTITION BY l_orderkey) = 1 AND votes >= 2""")
 def unanimous_map(spark, sf_dir):
-    few = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    return R.majority(few, "l_suppkey", "l_linestatus", 2, unanimous=True)
+    return R.majority(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linestatus", 2, unanimous=True)
 
 
 _TEXT = "concat('Invoice INV-', CAST(year(l_shipdate) AS VARCHAR), '-', CAST(l_orderkey AS VARCHAR), ' for PO-', CAST(1000 + l_suppkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR), '.')"
@@ -334,12 +357,12 @@ def payload_guard(spark, sf_dir):
 
 
 def queries():
-    from . import log_reports, reports, unit_reports  # noqa: F401  they register their queries
+    from . import log_reports, reports, score_reports, unit_reports  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from . import log_reports, reports, unit_reports  # noqa: F401
+    from . import log_reports, reports, score_reports, unit_reports  # noqa: F401
 
     return dict(_SQL)

@@ -27,6 +27,53 @@ def randomisation_test(df: DataFrame, ident: str, value: str, group: Column, dra
     return out.select(F.round("_seen", 6).alias("observed"), hits.cast("bigint").alias("hits"), F.round((hits + 1) / (draws + 1), 6).alias("p"))
 
 
+def permutation_tests(df: DataFrame, group: str, value: str, draws: int = 5000, seed: int = 0, parts: int = 16) -> DataFrame:
+    """``group, n, observed, hits, p, p_corrected``: one test a group, of the difference between the mean of ``value``
+    inside and outside of it, against permutations of the values.
+
+    A permutation deals the distinct values with their counts, so rows are counted first and each draw is one of
+    a multivariate hypergeometric distribution; draws run in parts.  The counts (distinct values and groups) must
+    be few: they go into each task.  p is (hits + 1) / (draws + 1), the correction Bonferroni's.
+    """
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    counts = rows.groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).count().collect()
+    values = sorted({r.v for r in counts})
+    total = {v: sum(r["count"] for r in counts if r.v == v) for v in values}
+    tests = sorted({r.g for r in counts})
+    own = {g: {r.v: r["count"] for r in counts if r.g == g} for g in tests}
+    size, everything = sum(total.values()), sum(v * n for v, n in total.items())
+    tests = [g for g in tests if 0 < sum(own[g].values()) < size]
+    spark = df.sparkSession
+
+    def difference(inside, n):
+        return inside / n - (everything - inside) / (size - n)
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for part in batch["id"]:
+                rng, here = np.random.default_rng([seed, int(part)]), len(range(int(part), draws, parts))
+                for i, g in enumerate(tests):
+                    n = sum(own[g].values())
+                    seen = abs(difference(sum(v * c for v, c in own[g].items()), n)) - 1e-12
+                    dealt = rng.multivariate_hypergeometric([total[v] for v in values], n, size=here, method="marginals")
+                    yield pd.DataFrame({"i": [i], "hits": [int((np.abs(difference(dealt @ np.array(values), n)) >= seen).sum())]})
+
+    hits = spark.range(0, parts, 1, parts).mapInPandas(draw, "i int, hits bigint").groupBy("i").agg(F.sum("hits").alias("hits"))
+    facts = [(i, g, sum(own[g].values()), float(difference(sum(v * c for v, c in own[g].items()), sum(own[g].values())))) for i, g in enumerate(tests)]
+    named = spark.createDataFrame(facts, f"i int, `{group}` {rows.schema[group].dataType.simpleString()}, n bigint, observed double")
+    p = (F.col("hits") + 1) / (draws + 1)
+    return named.join(hits, "i").select(group, "n", F.round("observed", 6).alias("observed"), "hits", F.round(p, 6).alias("p"), F.round(F.least(F.lit(1.0), p * max(1, len(tests))), 6).alias("p_corrected"))
+
+
+def accepted(df: DataFrame, bar: dict[str, Column]) -> DataFrame:
+    """``name, ok, accepted`` of named comparisons on a table of one row; accepted if all hold."""
+    rows = F.array(*[F.struct(F.lit(k).alias("name"), c.alias("ok")) for k, c in bar.items()])
+    return df.select(rows.alias("_r")).withColumn("accepted", F.forall("_r", lambda r: r["ok"])).select(F.explode("_r").alias("r"), "accepted").select("r.name", "r.ok", "accepted")
+
+
 def purity(df: DataFrame, label: str, other: str) -> DataFrame:
     """``label, top, votes, total, share, purity``: per label its most frequent ``other`` (the smaller on a tie) and that one's share."""
     n = df.groupBy(label, other).agg(F.count("*").alias("n"))

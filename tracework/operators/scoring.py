@@ -9,19 +9,59 @@ from pyspark.sql import functions as F
 def boundary_matches(gold: Column, pred: Column, tolerance: int) -> Column:
     """Size of the largest one-to-one matching of two sorted arrays within ``tolerance``: a two-pointer sweep.
 
-    Each gold edge takes the first free predicted edge that is not too early, if it is near enough.
+    Each step moves at least one of the two pointers, so an array of n and one of m edges take n + m steps.
     """
-    state = F.struct(F.lit(0).alias("j"), F.lit(0).alias("tp"))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(gold) + F.size(pred)))
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("tp"))
 
-    def step(s: Column, g: Column) -> Column:
-        first = F.coalesce(
-            F.array_min(F.transform(F.filter(F.transform(pred, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: (x["i"] >= s["j"]) & (x["p"] >= g - tolerance)), lambda x: x["i"])),
-            F.size(pred),
+    def step(s: Column, _: Column) -> Column:
+        g, p = F.get(gold, s["i"]), F.get(pred, s["j"])
+        move = lambda i, j, tp: F.struct((s["i"] + i).alias("i"), (s["j"] + j).alias("j"), (s["tp"] + tp).alias("tp"))
+        return F.when(g.isNull() | p.isNull(), s).when(p < g - tolerance, move(0, 1, 0)).when(p > g + tolerance, move(1, 0, 0)).otherwise(move(1, 1, 1))
+
+    return F.aggregate(steps, state, step)["tp"]
+
+
+def nearest_first_matches(gold: Column, pred: Column, tolerance: int) -> Column:
+    """Size of the matching that takes the nearest pairs first (then the lower places): a comparator, not an optimum."""
+    near = F.flatten(
+        F.transform(
+            gold,
+            lambda g, i: F.transform(
+                F.filter(F.transform(pred, lambda p, j: F.struct(F.abs(p - g).alias("d"), i.alias("i"), j.alias("j"))), lambda x: x["d"] <= tolerance), lambda x: x
+            ),
         )
-        hit = F.coalesce(F.get(pred, first) <= g + tolerance, F.lit(False))
-        return F.struct((first + hit.cast("int")).alias("j"), (s["tp"] + hit.cast("int")).alias("tp"))
+    )
+    none = F.array().cast("array<int>")
+    state = F.struct(none.alias("g"), none.alias("p"))
+
+    def step(s: Column, x: Column) -> Column:
+        free = ~F.array_contains(s["g"], x["i"]) & ~F.array_contains(s["p"], x["j"])
+        return F.when(free, F.struct(F.array_append(s["g"], x["i"]).alias("g"), F.array_append(s["p"], x["j"]).alias("p"))).otherwise(s)
+
+    return F.size(F.aggregate(F.array_sort(near), state, step)["g"])
 
-    return F.aggregate(gold, state, step)["tp"]
+
+def prf(tp: Column, n_gold: Column, n_pred: Column, digits: int = 6) -> dict[str, Column]:
+    """Precision, recall and F1: all 1 if both sides are empty, all 0 if one is."""
+    none = (n_gold == 0) & (n_pred == 0)
+    precision = F.when(none, 1.0).when(n_pred == 0, 0.0).otherwise(tp / F.nullif(n_pred, F.lit(0)))
+    recall = F.when(none, 1.0).when(n_gold == 0, 0.0).otherwise(tp / F.nullif(n_gold, F.lit(0)))
+    f1 = F.when(none, 1.0).when(tp == 0, 0.0).otherwise(2 * tp / F.nullif(n_gold + n_pred, F.lit(0)))
+    return {k: F.round(v, digits) for k, v in (("precision", precision), ("recall", recall), ("f1", f1))}
+
+
+def boundary_scores(gold: DataFrame, pred: DataFrame, keys: DataFrame, key: str, tolerances: tuple[int, ...]) -> DataFrame:
+    """``key, tol, tp, n_gold, n_pred`` for every key of ``keys`` and every tolerance.
+
+    ``gold(key, g)`` and ``pred(key, p)`` hold sorted arrays; a key that one of them lacks counts as empty there.
+    """
+    none = F.array().cast("array<bigint>")
+    both = keys.select(key).distinct().join(gold, key, "left").join(pred, key, "left")
+    both = both.select(key, F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
+    tp = F.array(*[F.struct(F.lit(t).alias("tol"), boundary_matches(F.col("g"), F.col("p"), t).cast("bigint").alias("tp")) for t in tolerances])
+    rows = both.select(key, F.size("g").cast("bigint").alias("n_gold"), F.size("p").cast("bigint").alias("n_pred"), F.explode(tp).alias("x"))
+    return rows.select(key, "x.tol", "x.tp", "n_gold", "n_pred")
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -61,13 +101,69 @@ def agreement(table: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def ks_statistic(df: DataFrame, value: str, side: Column) -> DataFrame:
+def grouped_agreement(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """``by, n, clusters, v_measure, adjusted_rand`` of the labels ``a`` against ``b`` in each group.
+
+    Counts of pairs come first; a group's sums then run over its distinct pairs, not over its rows.
+    """
+    c = df.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    wa, wb, every = Window.partitionBy(*by, a), Window.partitionBy(*by, b), Window.partitionBy(*by)
+    c = c.withColumns({"na": F.sum("n").over(wa), "nb": F.sum("n").over(wb), "t": F.sum("n").over(every)})
+    n, t = F.col("n"), F.col("t")
+    two = lambda x: x.cast("double") * (x - 1) / 2
+    # a row of a label carries its part n / na of the label's own term
+    s = c.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.count_distinct(b).alias("clusters"),
+        (-F.sum(n / t * F.log(n / F.col("nb")))).alias("hab"), (-F.sum(n / t * F.log(n / F.col("na")))).alias("hba"),
+        (-F.sum(n / t * F.log(F.col("na") / t))).alias("ha"), (-F.sum(n / t * F.log(F.col("nb") / t))).alias("hb"),
+        F.sum(two(n)).alias("s"), F.sum(n * (F.col("na") - 1) / 2).alias("sa"), F.sum(n * (F.col("nb") - 1) / 2).alias("sb"),
+    )
+    h = F.when(F.col("ha") < 1e-15, 1.0).otherwise(1 - F.col("hab") / F.col("ha"))
+    k = F.when(F.col("hb") < 1e-15, 1.0).otherwise(1 - F.col("hba") / F.col("hb"))
+    s = s.withColumns({"h": h, "k": k, "chance": F.col("sa") * F.col("sb") / F.greatest(two(F.col("n")), F.lit(1.0))})
+    spread = (F.col("sa") + F.col("sb")) / 2 - F.col("chance")
+    v = F.when(F.col("h") + F.col("k") < 1e-12, 0.0).otherwise(2 * F.col("h") * F.col("k") / (F.col("h") + F.col("k")))
+    return s.select(*by, "n", "clusters", F.round(v, 6).alias("v_measure"), F.round(F.when(F.abs(spread) < 1e-12, 1.0).otherwise((F.col("s") - F.col("chance")) / spread), 6).alias("adjusted_rand"))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], digest: Column, name: str) -> DataFrame:
+    """Adds ``name``: the place of each row (from 1) in the order of a hex ``digest``, then ``order``, within ``keys``.
+
+    Rows are dealt by the first two digits of the digest and counted, so that no window holds a whole group.
+    """
+    d = df.withColumn("_d", digest).withColumn("_part", F.substring("_d", 1, 2))
+    n = d.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_d", *order)) + F.col("_before")
+    return d.join(n, [*keys, "_part"]).withColumn(name, place).drop("_d", "_part", "_before")
+
+
+def shuffled(df: DataFrame, ident: str, label: str, draws: int) -> DataFrame:
+    """``draw, ident, label``: the labels dealt anew to the rows, once per draw, by ranks of two digests."""
+    rows = df.select(F.col(ident), F.col(label)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    text = lambda mark: F.md5(F.concat_ws("-", F.col("draw").cast("string"), F.lit(mark), F.col(ident).cast("string")).cast("binary"))
+    here = ranked(rows, ["draw"], [F.col(ident)], text("a"), "_r").select("draw", ident, "_r")
+    there = ranked(rows, ["draw"], [F.col(ident)], text("b"), "_r").select("draw", label, "_r")
+    return here.join(there, ["draw", "_r"]).drop("_r")
+
+
+def ks_statistic(df: DataFrame, value: str, side: Column, parts: int = 64) -> DataFrame:
     """Kolmogorov-Smirnov distance of the values where ``side`` holds and where it does not.
 
-    Values are counted first, so the running sums go over distinct values only.
+    Values are counted first.  The running sums are taken within ranges of values, whose bounds are approximate
+    quantiles (any bounds give the same result), after the sums of the ranges before.
     """
     t = df.groupBy(value).agg(F.count_if(side).alias("x"), F.count_if(~side).alias("y"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select(F.sum("x").over(w).alias("x"), F.sum("y").over(w).alias("y"))
+    shares = ",".join(str(i / parts) for i in range(1, parts))
+    bounds = t.agg(F.expr(f"array_distinct(percentile_approx({value}, array({shares}), 1000))").alias("_b"))  # one row
+    part = F.size(F.filter(F.coalesce("_b", F.array()), lambda b: F.col(value) > b))
+    t = t.crossJoin(F.broadcast(bounds)).withColumn("_p", part).drop("_b")
+    sums = t.groupBy("_p").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    zero = F.lit(0).cast("bigint")
+    sums = sums.select("_p", F.coalesce(F.sum("sx").over(before), zero).alias("bx"), F.coalesce(F.sum("sy").over(before), zero).alias("by"))
+    w = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.join(F.broadcast(sums), "_p").select((F.sum("x").over(w) + F.col("bx")).alias("x"), (F.sum("y").over(w) + F.col("by")).alias("y"))
     top = t.agg(F.max("x").alias("nx"), F.max("y").alias("ny"))
-    return t.crossJoin(top).agg(F.round(F.max(F.abs(F.col("x") / F.col("nx") - F.col("y") / F.col("ny"))), 6).alias("ks"))
+    return t.crossJoin(F.broadcast(top)).agg(F.round(F.max(F.abs(F.col("x") / F.col("nx") - F.col("y") / F.col("ny"))), 6).alias("ks"))

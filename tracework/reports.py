@@ -90,7 +90,7 @@ def windowdiff(spark, sf_dir):
 r AS (SELECT draw, quality, CASE WHEN draw = 0 THEN g ELSE CAST(concat('0x', substr(md5(concat(draw, '-', doc_id)), 1, 7)) AS BIGINT) * m < n * 268435456 END AS inside FROM d, c, range(0, 201) t(draw)),
 s AS (SELECT draw, avg(quality) FILTER (inside) - avg(quality) FILTER (NOT inside) AS stat FROM r GROUP BY 1), o AS (SELECT stat AS seen FROM s WHERE draw = 0)
 SELECT round(max(seen), 6) AS observed, count(*) FILTER (draw > 0 AND abs(stat) >= abs(seen) - 1e-12) AS hits, round((count(*) FILTER (draw > 0 AND abs(stat) >= abs(seen) - 1e-12) + 1) / 201, 6) AS p FROM s, o""")
-def permutation_test(spark, sf_dir):
+def randomisation_test(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "lang")
     return U.randomisation_test(d, "doc_id", "quality", F.col("lang") == "en", 200)
 
