@@ -9,7 +9,7 @@ is rejected when its smoothed share of bad labels reaches a bound.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +18,14 @@ from .common import LOWER, UPPER, keep
 
 #: Fixed values: (verdict, host and path) rules of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Words of a host or path that label a page as bad where no rule judges it.
+BAD_WORDS = r"(?:^|[./_-])(?:ads?|adult|bets?|betting|casino|dating|jackpot|malware|phish\w*|pills?|poker|porn\w*|spam|track(?:er|ing)?|viagra|warez|xxx)(?:[./_-]|$)"
 
 
 @dataclass(frozen=True)
 class Tree:
-    #: Segments that get levels of their own; what lies deeper is one "**" level.
-    depth: int = 3
+    #: Segments that get levels of their own, as far as the paths go; what lies deeper is one "**" level.
+    depth: int = 16
     #: A place with more values than this, each seen fewer than ``spread`` times on average, is a wildcard.
     values: int = 20
     spread: int = 5
@@ -119,26 +121,28 @@ def _merged(leaf: DataFrame, tree: Tree) -> DataFrame:
     return leaf
 
 
-def url_filter(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, tree: Tree = Tree(), bad_words: str = BAD_WORDS) -> DataFrame:
     """``page_id, host, path, rule, template, purity, verdict`` for every row of ``pages``.
 
-    Labels for the tree are the pages that a rule judges (block is bad); pages without a rule get
-    their template's verdict, and ``allow`` where it has none.  One row per input row, repeated rows
-    included; null urls and urls without ``://`` have an empty host and path, no rule and ``allow``.
-    Other columns are left out, so clashing names do no harm.  A hot host only adds to partial
-    counts: templates, not pages, are grouped by host.
+    Labels for the tree are the pages that a rule judges (block is bad), and those whose host or path
+    holds one of ``bad_words``; pages without a rule get their template's verdict, and ``allow`` where it
+    has none.  One row per input row, repeated rows included; null urls and urls without ``://`` have an
+    empty host and path, no rule and ``allow``; an empty table gives no rows; urls of any length and depth
+    are read whole.  Other columns are left out, so clashing names do no harm.  A hot host only adds to
+    partial counts: templates, not pages, are grouped by host.
     """
     host, path = split_url(F.col("url"))
     a = pages.select("page_id", host.alias("host"), path.alias("path"))
     a = a.withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
     segments = F.array_remove(F.split("path", "/"), "")
+    deepest = a.agg(F.max(F.size(segments))).first()[0] or 0
+    tree = replace(tree, depth=max(1, min(tree.depth, deepest)))
     deep = F.when(F.size("segs") > tree.depth, F.array(F.lit("**"))).otherwise(F.expr("cast(array() as array<string>)"))
     a = a.withColumn("segs", segments)
     a = a.withColumn("shape", F.concat(F.transform(F.slice("segs", 1, tree.depth), _shape), deep))
-    bad = F.when(F.col("m.verdict") == "block", 1).otherwise(0)
-    seen = a.groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("m").alias("labelled"), F.sum(F.when(F.col("m").isNotNull(), bad)).alias("bad")
-    )
+    worded = F.when(F.concat("host", "path").rlike(bad_words), 1)
+    label = F.when(F.col("m").isNotNull(), (F.col("m.verdict") == "block").cast("int")).otherwise(worded)
+    seen = a.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.sum(label).alias("bad"))
     seen = keep(seen.withColumn("bad", F.coalesce("bad", F.lit(0))), "shapes")
     # level by level from the host: a place with too many values becomes a wildcard below its parent
     seen = seen.withColumn("template", F.expr("cast(array() as array<string>)"))
