@@ -357,12 +357,12 @@ def payload_guard(spark, sf_dir):
 
 
 def queries():
-    from . import edge_reports, log_reports, reports, score_reports, unit_reports  # noqa: F401  they register their queries
+    from . import edge_reports, log_reports, reports, score_reports, unit_reports, worklist_reports  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from . import edge_reports, log_reports, reports, score_reports, unit_reports  # noqa: F401
+    from . import edge_reports, log_reports, reports, score_reports, unit_reports, worklist_reports  # noqa: F401
 
     return dict(_SQL)

@@ -5,7 +5,7 @@ Column expressions only.  Null text gives null; text without a match gives an em
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The forms in which regulations and screens are written.
@@ -16,6 +16,7 @@ BODY = r"(?Us)[^\s。、：:]{1,20}規程\s*第[１1]条.*?(?:附則[^。]*。|$
 CLOSING = r"(?s)^(.*?附則[^。]*。)"
 TABLE_HEAD = r"(?:処理待ち一覧|申請一覧|一覧)\n((?:[^\n]+\n){3,10}?)(?=P\d+-\d+-\d+\n)"
 ROW_ID = r"^P\d+-\d+-\d+$"
+TITLE = r"(?U)([^\s。、：:]{2,24}(?:規程|手続き|手続|チェックリスト|一覧))\s*(?=第[１1]条|１[．.]|1[．.]|\r)"
 
 
 def _trim(c: Column) -> Column:
@@ -112,3 +113,27 @@ def same_rules(a: Column, b: Column) -> Column:
 def ungoverned(mode: Column, text: Column, subject: Column) -> Column:
     """Whether a row was routed by a threshold rule although the regulation does not name its subject."""
     return (mode == "automated_by_rule") & ~governs(text, subject)
+
+
+def bodies(text: Column) -> Column:
+    """``map<title, body>`` of the regulations in a capture: each runs from its printed title to the next one; of equal
+    titles the last counts.  Empty for null."""
+    titles = F.regexp_extract_all(text, F.lit(TITLE), F.lit(1))
+    parts = F.split(text, TITLE)  # the text before the first title, then what follows each title
+    heads = F.regexp_extract_all(text, F.lit(TITLE), F.lit(0))
+    each = F.transform(titles, lambda t, i: F.struct(t.alias("title"), F.concat(F.get(heads, i), F.get(parts, i + 1)).alias("body"), i.alias("i")))
+    last = F.filter(each, lambda x: ~F.exists(each, lambda y: (y["title"] == x["title"]) & (y["i"] > x["i"])))
+    return F.map_from_entries(F.coalesce(F.transform(last, lambda x: F.struct(x["title"], x["body"])), F.array().cast("array<struct<title:string,body:string>>")))
+
+
+def corpus(texts: DataFrame, text: str) -> DataFrame:
+    """``title, body``: of each regulation the longest captured body, the greater text on a tie."""
+    each = texts.select(F.explode(bodies(F.col(text))).alias("title", "body"))
+    return each.groupBy("title").agg(F.max(F.struct(F.length("body").alias("n"), "body")).alias("x")).select("title", "x.body")
+
+
+def filled_template(template: Column, row: Column, fallback: Column) -> Column:
+    """``template`` with each ``{column}`` replaced from the map ``row`` (null cells are empty); ``fallback`` if a column is unknown."""
+    out = F.aggregate(F.map_entries(row), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+    known = F.aggregate(F.map_keys(row), template, lambda t, k: F.replace(t, F.concat(F.lit("{"), k, F.lit("}")), F.lit("")))
+    return F.when(known.rlike(r"\{[^{}]*\}"), fallback).otherwise(out)
