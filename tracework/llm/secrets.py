@@ -35,8 +35,10 @@ class Training:
     documents: int = 1000
     #: Pseudo-count of every pair of characters.
     smoothing: float = 0.5
+    #: Share of a secrets' model that is even over the alphabet: random strings of letters that the samples lack.
+    even: float = 0.3
     #: Mean log-likelihood ratio from which a token is a secret.
-    ratio: float = 0.45
+    ratio: float = 0.6
 
 
 def _spans(kind: str, order: int, pattern: str, group: int, least: int) -> Column:
@@ -99,8 +101,9 @@ def train(sample: DataFrame, training: Training = Training()) -> dict[str, list[
         before[kind, p[0]] = before.get((kind, p[0]), 0) + c
     k, v = training.smoothing, len(ALPHABET)
     share = lambda kind, p: math.log((n.get((kind, p), 0) + k) / (before.get((kind, p[0]), 0) + k * v))
+    secret = lambda kind, p: math.log((1 - training.even) * math.exp(share(kind, p)) + training.even / v)
     kinds = sorted({kind for kind, _ in n} - {None})
-    return {kind: [round(share(kind, a + b) - share(None, a + b), 4) for a in ALPHABET for b in ALPHABET] for kind in kinds}
+    return {kind: [round(secret(kind, a + b) - share(None, a + b), 4) for a in ALPHABET for b in ALPHABET] for kind in kinds}
 
 
 def secret_scan(docs: DataFrame, ratios: dict[str, list[float]], training: Training = Training()) -> DataFrame:
