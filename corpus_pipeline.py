@@ -64,13 +64,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and rows of one id with different words all stay.  Rows without an id stay.
     """
     kept = near_duplicates(docs, **SIMILAR).where("kept and doc_id is not null").select("doc_id").distinct()
-    words = F.xxhash64(F.regexp_replace(F.lower("text"), SPACE + "+", " "), F.lower("text").isNull())
+    text = F.lower(F.col("row.text"))
+    words = F.xxhash64(F.regexp_replace(text, SPACE + "+", " "), text.isNull())
+    plain = [F.col(f"row.{c}") for c in _names(docs) if not docs.schema[c.strip("`")].dataType.typeName().startswith(("map", "variant"))]
     # the join deals rows by doc_id already, so the window needs no further shuffle
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_words", words)
-    others = [f"`{c}`" for c in docs.columns if c not in ("doc_id",) and not docs.schema[c].dataType.typeName().startswith(("map", "variant"))]
-    first = F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy(*others))
-    one = rows.withColumn("_nth", first).where("_nth = 1")
-    return one.select(*_names(docs)).unionByName(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", F.struct(*_names(docs)).alias("row")).join(kept, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "words").orderBy("hash"))
+    one = rows.withColumns({"words": words, "hash": F.xxhash64(*plain)}).withColumn("nth", first).where("nth = 1").select("row.*")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
