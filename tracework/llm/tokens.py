@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +45,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Encodes batches of texts with a tokenizer file.
 
@@ -61,7 +65,6 @@ class Encoder:
         self.units: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before
         self.parts: dict[str, bytes] = {}
-        self.letters = _byte_letters()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text as unsigned 32-bit little-endian bytes; none for null or empty."""
@@ -70,7 +73,7 @@ class Encoder:
     def batches(self, texts: pa.Array) -> Iterator[list[bytes]]:
         """The ids of all texts in order, a few megabytes of text at a time."""
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-        for a, b in runs(sizes, 4_000_000):
+        for a, b in runs(sizes, 12_000_000):
             yield self._batch(pc.fill_null(texts.slice(a, b - a), ""))
 
     def _batch(self, texts: pa.Array) -> list[bytes]:
@@ -108,9 +111,11 @@ class Encoder:
         return out
 
     def _library(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def _words(self, units: list[str]) -> Iterator[bytes]:
+        if len(self.parts) > CACHE:
+            self.parts.clear()
         for unit in units:
             low = unit.lower()
             if _PLAIN(unit) and _PLAIN(low):
@@ -121,11 +126,9 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            letters = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+            letters = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
             if len(part) <= CACHED_CHARS:
-                if len(self.parts) >= CACHE:
-                    self.parts.clear()
                 self.parts[part] = ids
         return ids
 
