@@ -10,7 +10,8 @@ from tracework import catalogue
 
 HEADLINE = (
     "gap_sessions bracket_pairs bracket_segments segment_event_counts max_overlap_match bijection_counts boundary_prf "
-    "asof_neighbours v_measure ks_two_sample process_profile threshold_route text_ids density_features"
+    "asof_neighbours v_measure ks_two_sample process_profile threshold_route text_ids density_features "
+    "windowdiff grid_units non_max_suppression permutation_test segment_labels delivered_segments case_anchors log_flatten label_profile"
 ).split()
 
 

@@ -82,14 +82,50 @@ def purity(df: DataFrame, label: str, other: str) -> DataFrame:
     return n.where("_r = 1").select(label, F.col(other).alias("top"), F.col("n").alias("votes"), "total", (F.col("n") / F.col("total")).alias("share"), F.round(F.col("n") / F.col("total"), 6).alias("purity"))
 
 
+def ranks(df: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:
+    """``keys, value, _c, _cum, n``: the distinct values of each group with their number, the number of values up to
+    them, and the group's size.  Nulls are left out.
+
+    Values are counted first; running sums are taken within ranges of values (approximate quantiles; any bounds give
+    the same result) after the sums of the ranges before, so no window holds a whole group.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    shares = ",".join(str(i / parts) for i in range(1, parts))
+    bounds = c.agg(F.expr(f"array_distinct(percentile_approx({value}, array({shares}), 1000))").alias("_b"))  # one row
+    c = c.crossJoin(F.broadcast(bounds)).withColumn("_p", F.size(F.filter(F.coalesce("_b", F.array()), lambda b: F.col(value) > b))).drop("_b")
+    sums = c.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*keys)
+    before = F.sum("_s").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    names = [f"_k{i}" for i in range(len(keys))]
+    sums = sums.select(*[F.col(k).alias(x) for k, x in zip(keys, names, strict=True)], F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_s").over(group).alias("n"))
+    same = F.col("_p") == F.col("_q")
+    for k, x in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(x))
+    cum = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy(value)) + F.col("_before")
+    return c.join(sums, same).withColumn("_cum", cum).select(*keys, value, "_c", "_cum", "n")
+
+
 def indexed_quantiles(df: DataFrame, label: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Per label n and the sorted values at list index floor(share * n); values are counted first."""
-    c = df.groupBy(label, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(label)
-    c = c.withColumn("_cum", F.sum("_c").over(w.orderBy(value))).withColumn("n", F.sum("_c").over(w))
+    """Per label n and the sorted values at list index floor(share * n)."""
+    c = ranks(df, [label], value)
     return c.groupBy(label, "n").agg(*[F.min(F.when(F.col("_cum") > F.floor(F.col("n") * q), F.col(value))).alias(k) for k, q in shares.items()])
 
 
+def linear_quantiles(df: DataFrame, label: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per label the quantiles with linear interpolation between neighbours in rank."""
+    c = ranks(df, [label], value)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_cum") > rank, F.col(value)))
+
+    out = []
+    for k, q in shares.items():
+        place = (F.col("n") - 1) * q
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * (F.first(place) - F.floor(F.first(place)))).alias(k))
+    return c.groupBy(label).agg(*out)
+
+
 def dominant_ids(df: DataFrame, key: str, ids: Column, length: Column, repeat: int, sole: int) -> DataFrame:
     """``key, case_id, source``: the identifier found most often, the first on a tie, if found ``repeat`` times
     (dominance); else the only one of a text of ``sole`` characters at most (uniqueness); else no row."""

@@ -76,17 +76,14 @@ def window_diff(gold: DataFrame, pred: DataFrame, bounds: DataFrame, key: str, s
     """
     both = gold.select(key, "bin", F.lit(1).alias("_d")).unionByName(pred.select(key, "bin", F.lit(-1).alias("_d")))
     size = F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0")) / step)).cast("bigint")
-    s = bounds.select(key, size.alias("n")).join(both, key, "left")
-    s = s.groupBy(key, "n").agg(
-        F.count_if(F.col("_d") == 1).alias("_g"), F.coalesce(F.sum("_d"), F.lit(0)).alias("_total"), F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "_d"))).alias("_marks")
-    )
+    counts = both.groupBy(key).agg(F.count_if(F.col("_d") == 1).alias("_g"), F.sum("_d").alias("_total"))
+    s = bounds.select(key, size.alias("n")).join(counts, key, "left").na.fill(0, ["_g", "_total"])
     s = s.withColumn("k", F.greatest(F.lit(2), F.bround(F.col("n") / (2 * F.greatest(F.lit(1), F.col("_g"))))).cast("bigint"))
-    stop = F.col("n") - F.col("k") + 1
-    steps = F.flatten(
-        F.transform("_marks", lambda m: F.array(F.struct((m["bin"] - F.col("k") + 1).alias("at"), m["_d"].alias("d")), F.struct((m["bin"] + 1).alias("at"), (-m["_d"]).alias("d"))))
-    )
-    steps = F.concat(steps, F.array(F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("d"))))
-    rows = s.select(key, "n", "k", "_total", stop.alias("_stop"), F.explode(steps).alias("_x"))
+    s = s.select(key, "n", "k", "_total", (F.col("n") - F.col("k") + 1).alias("_stop"))
+    edge = lambda at, d: F.struct(at.cast("bigint").alias("at"), d.cast("bigint").alias("d"))
+    steps = F.array(edge(F.col("bin") - F.col("k") + 1, F.col("_d")), edge(F.col("bin") + 1, -F.col("_d")))
+    rows = s.join(both, key).select(key, "n", "k", "_total", "_stop", F.explode(steps).alias("_x"))
+    rows = rows.unionByName(s.select(key, "n", "k", "_total", "_stop", edge(F.lit(0), F.lit(0)).alias("_x")))
     at = F.greatest(F.lit(0), F.least(F.col("_x.at"), F.col("_stop")))
     rows = rows.groupBy(key, "n", "k", "_total", "_stop", at.alias("_at")).agg(F.sum("_x.d").alias("_d"))
     w = Window.partitionBy(key).orderBy("_at")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .audits import linear_quantiles
+
 
 def route(amount: Column, rules: list[tuple[int, str, str]]) -> Column:
     """Outcome for an amount: rules (bound, comparison, outcome) ascending; a lower bound that holds
@@ -19,13 +21,12 @@ def route(amount: Column, rules: list[tuple[int, str, str]]) -> Column:
 def profile(df: DataFrame, label: str, value: str) -> DataFrame:
     """Per label: n, median, interquartile range, coefficient of variation (half-even), share of the total."""
     p = df.groupBy(label).agg(
-        F.count("*").alias("n"),
-        F.sum(value).alias("total"),
-        F.expr(f"percentile({value}, 0.5)").alias("median"),
-        F.expr(f"percentile({value}, 0.75) - percentile({value}, 0.25)").alias("iqr"),
-        F.bround(F.stddev_samp(value) / F.avg(value), 2).alias("cv"),
+        F.count("*").alias("n"), F.sum(value).alias("total"), F.bround(F.stddev_samp(value) / F.avg(value), 2).alias("cv")
     )
-    return p.withColumn("share_pct", F.round(100.0 * F.col("total") / F.sum("total").over(Window.partitionBy()), 4))
+    q = linear_quantiles(df, label, value, {"median": 0.5, "low": 0.25, "high": 0.75}).withColumnRenamed(label, "_label")
+    p = p.join(q, F.col(label).eqNullSafe(F.col("_label")), "left")
+    p = p.select(label, "n", "total", "median", (F.col("high") - F.col("low")).alias("iqr"), "cv")
+    return p.withColumn("share_pct", F.round(100.0 * F.col("total") / F.sum("total").over(Window.partitionBy()), 4))  # one row a label
 
 
 def majority(df: DataFrame, key: str, value: str, support: int, unanimous: bool = False) -> DataFrame:
