@@ -351,3 +351,35 @@ def vocabulary_compare(spark, sf_dir):
     found = systems(log(spark, sf_dir)).select("system")
     side = lambda df, name: df.select(F.lit(name).alias("side"), "system")
     return side(hand.intersect(found), "both").unionByName(side(hand.subtract(found), "hand only")).unionByName(side(found.subtract(hand), "found only"))
+
+
+@query(f"""{_L}, g AS (SELECT event_type, ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms, event_id) AS gap FROM l) SELECT event_type, count(gap) AS n, quantile_cont(gap, 0.5) AS p50, quantile_cont(gap, 0.9) AS p90, quantile_cont(gap, 0.99) AS p99 FROM g WHERE gap IS NOT NULL GROUP BY 1""")
+def gap_quantiles(spark, sf_dir):
+    """Quantiles of the time since the event before, by kind of event."""
+    gap = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("session_id").orderBy("ts_ms", "event_id"))
+    g = log(spark, sf_dir).select("event_type", gap.alias("gap")).where("gap is not null")
+    q = U.linear_quantiles(g, "event_type", "gap", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return g.groupBy("event_type").agg(F.count("*").alias("n")).join(q, "event_type")
+
+
+@query(f"""{_LU}, {_STATES}, {_LABELS}, sl AS (SELECT DISTINCT split_part(label, '__', 2) AS screen, label FROM lb2) SELECT 'labels of a screen' AS side, screen AS name, count(*) AS n FROM sl GROUP BY screen UNION ALL SELECT 'screens of a label', label, count(*) FROM sl GROUP BY label""")
+def one_to_one(spark, sf_dir):
+    """How many labels each screen has, and how many screens each label."""
+    d = labelled(spark, sf_dir).select(F.get(F.split("label", "__"), F.lit(1)).alias("screen"), "label").distinct()
+    of = lambda c, side: d.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "name", "n")
+    return of("screen", "labels of a screen").unionByName(of("label", "screens of a label"))
+
+
+@query(f"""{_LU}, {_STATES}, {_LABELS}, v AS (SELECT split_part(label, '__', 1) AS family, label, end_ts - start_ts AS spent, session_id, start_ts, end_ts FROM lb2), c AS (SELECT family, app, count(*) AS n FROM v JOIN l ON l.session_id = v.session_id AND ts_ms BETWEEN start_ts AND end_ts GROUP BY 1, 2),
+t AS (SELECT family, string_agg(app, ',' ORDER BY n DESC, app) AS top_apps FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, app) <= 2) GROUP BY 1)
+SELECT v.family, count(*) AS n, count(DISTINCT label) AS variants, quantile_cont(spent, 0.5) AS median, quantile_cont(spent, 0.9) AS p90, any_value(top_apps) AS top_apps FROM v LEFT JOIN t ON t.family = v.family GROUP BY 1""")
+def family_profile(spark, sf_dir):
+    """Families of labels: runs, variants, median and 90 % point of the time, and the two applications used most."""
+    u = labelled(spark, sf_dir).withColumn("family", F.get(F.split("label", "__"), F.lit(0)))
+    apps = I.containment(u.select("session_id", "start_ts", "end_ts", "family"), log(spark, sf_dir).select("session_id", "ts_ms", "app"), "session_id", "ts_ms", DAY_MS, "inner")
+    c = apps.groupBy("family", "app").agg(F.count("*").alias("n"))
+    c = c.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("n"), "app"))).where("r <= 2")
+    top = c.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "app"))), lambda x: x["app"]), ",").alias("top_apps"))
+    u = u.withColumn("spent", F.col("end_ts") - F.col("start_ts"))
+    q = U.linear_quantiles(u, "family", "spent", {"median": 0.5, "p90": 0.9})
+    return u.groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("label").alias("variants")).join(q, "family").join(top, "family", "left")

@@ -47,6 +47,28 @@ def chance_segmenter(spark, sf_dir):
     return t.withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
 
 
+_PLACED = """gp AS (SELECT p.session_id, start_ts, end_ts - start_ts AS d, start_ts - coalesce(lag(end_ts) OVER w, t0) AS gap, t0, row_number() OVER w AS i, row_number() OVER (PARTITION BY p.session_id ORDER BY md5(concat_ws('-', p.session_id, start_ts)), start_ts) AS r FROM pred p JOIN bd USING (session_id) WINDOW w AS (PARTITION BY p.session_id ORDER BY start_ts, end_ts)),
+pl AS (SELECT x.session_id, x.t0 + sum(x.gap) OVER w + coalesce(sum(y.d) OVER (PARTITION BY x.session_id ORDER BY x.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_ts, x.t0 + sum(x.gap) OVER w + sum(y.d) OVER w AS end_ts FROM gp x JOIN gp y ON y.session_id = x.session_id AND y.r = x.i WINDOW w AS (PARTITION BY x.session_id ORDER BY x.i))"""
+
+
+@query(f"WITH RECURSIVE {_units_sql()}, {_GROUPS}, {_BDS}, {_PLACED}, {_match_sql(_EDGES.format('units'), _EDGES.format('pl'))}, t AS (SELECT tol, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_pred) AS BIGINT) AS n_pred FROM sc GROUP BY 1) SELECT *, {_PRF} FROM t")
+def chance_placement(spark, sf_dir):
+    """The predicted units of a session in another order (by a hash), with the gaps as they were: what their lengths alone score."""
+    bounds, w = _bounds(spark, sf_dir), Window.partitionBy("session_id").orderBy("start_ts", "end_ts")
+    p = _pred(spark, sf_dir).join(bounds, "session_id")
+    mixed = Window.partitionBy("session_id").orderBy(F.md5(F.concat_ws("-", F.col("session_id").cast("string"), F.col("start_ts").cast("string")).cast("binary")), "start_ts")
+    p = p.select(
+        "session_id", "t0", (F.col("end_ts") - F.col("start_ts")).alias("d"), (F.col("start_ts") - F.coalesce(F.lag("end_ts").over(w), F.col("t0"))).alias("gap"), F.row_number().over(w).alias("i"), F.row_number().over(mixed).alias("r")
+    )
+    order = Window.partitionBy("session_id").orderBy("i")
+    p = p.select("session_id", "t0", "gap", "i").join(p.select("session_id", F.col("r").alias("i"), "d"), ["session_id", "i"])
+    start = F.col("t0") + F.sum("gap").over(order) + F.sum("d").over(order) - F.col("d")
+    placed = p.select("session_id", start.alias("start_ts"), (start + F.col("d")).alias("end_ts"))
+    gold = _edges(_units(spark, sf_dir), bounds).withColumnRenamed("bins", "g")
+    t = S.boundary_scores(gold, _edges(placed, bounds).withColumnRenamed("bins", "p"), bounds, "session_id", (2, 5, 10)).groupBy("tol").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")])
+    return t.withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
+
+
 @query(f"""WITH {_units_sql()}, {_GROUPS}, {_BDS}, g AS (SELECT session_id, list(bin ORDER BY bin) AS g FROM ({_EDGES.format('units')}) GROUP BY 1), p AS (SELECT session_id, list(bin ORDER BY bin) AS p FROM ({_EDGES.format('pred')}) GROUP BY 1),
 xg AS (SELECT session_id, unnest(g) AS gb, unnest(generate_series(1, len(g))) AS i FROM g), yp AS (SELECT session_id, unnest(p) AS pb, unnest(generate_series(1, len(p))) AS j FROM p),
 c AS (SELECT session_id, list(struct_pack(d := abs(gb - pb), i := i, j := j) ORDER BY abs(gb - pb), i, j) AS c FROM xg JOIN yp USING (session_id) WHERE abs(gb - pb) <= 5 GROUP BY 1),

@@ -149,7 +149,7 @@ _STATES = "CASE k % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'open' WHEN 2 THEN 'held' E
 s AS (SELECT screen, state, count(*) AS n, min(first) AS first FROM f GROUP BY 1, 2), p AS (SELECT screen, CAST(sum(n) AS BIGINT) AS n_rows, coalesce(min_by(state, first) FILTER (state IN ('open', 'held')), arg_min(state, (-n, first))) AS pending FROM s GROUP BY 1)
 SELECT p.screen, n_rows, pending, coalesce((SELECT min_by(s.state, s.first) FROM s WHERE s.screen = p.screen AND s.state <> pending), 'done') AS done FROM p WHERE n_rows >= 5""")
 def fixture_build(spark, sf_dir):
-    """Worklists of captures: each row as it was first seen, and which state means pending and which done."""
+    """Worklists of captures: each row as it was first seen, and which state means pending and which done; kept as JSON."""
     c = activity(spark, sf_dir).select(F.col("event_type").alias("screen"), F.col("k").alias("row_id"), F.expr(_STATES).alias("state"), F.struct("t", "event_id").alias("at"))
     f = c.groupBy("screen", "row_id").agg(F.min_by("state", "at").alias("state"), F.min("at").alias("first"))
     s = f.groupBy("screen", "state").agg(F.count("*").alias("n"), F.min("first").alias("first"))
@@ -157,7 +157,9 @@ def fixture_build(spark, sf_dir):
     pending = F.coalesce(F.min_by(F.when(waits, F.col("state")), F.when(waits, F.col("first"))), F.min_by("state", F.struct((-F.col("n")).alias("n"), "first")))
     p = s.groupBy("screen").agg(F.sum("n").alias("n_rows"), pending.alias("pending")).where("n_rows >= 5")
     done = s.join(p.select("screen", "pending"), "screen").where("state <> pending").groupBy("screen").agg(F.min_by("state", "first").alias("done"))
-    return p.join(done, "screen", "left").select("screen", "n_rows", "pending", F.coalesce("done", F.lit("done")).alias("done"))
+    path = scratch(spark, "fixture")
+    p.join(done, "screen", "left").select("screen", "n_rows", "pending", F.coalesce("done", F.lit("done")).alias("done")).write.json(path)
+    return spark.read.schema("screen string, n_rows bigint, pending string, done string").json(path)
 
 
 @query(f"""{_L}, c AS (SELECT session_id, ts_ms, event_id, regexp_extract(text, 'Main / ([^\\n/]+) /', 1) AS crumb FROM tx), e AS (SELECT session_id, ts_ms, CASE WHEN starts_with(el_id, 'btn-') THEN split_part(el_id, '-', 2) ELSE split_part(el_id, '-', 1) END AS prefix FROM l WHERE el_id IS NOT NULL),
