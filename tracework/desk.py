@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources.event_log import LOG_SCHEMA, flatten, table
+from .sources.event_log import LOG_SCHEMA, table
 
 #: The flat columns that the queries use, as SQL expressions of an event (k: its number, u: its user, t: microseconds).
 FLAT = {
@@ -108,8 +108,15 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat log of 35 columns."""
-    return flatten(raw_log(spark, sf_dir), F.col("ds"))
+    """The flat log of 35 columns, as ``flatten`` makes it of the nested one (the query ``log_flatten`` compares them)."""
+    return _events(spark, sf_dir).select(*[F.expr(v.format(ms="t div 1000")).alias(k) for k, v in FLAT.items()])
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side table of the log's texts."""
+    columns = (FLAT["event_id"], FLAT["session_id"], "t div 1000", _TEXT)
+    names = ("event_id", "session_id", "ts_ms", "text")
+    return _events(spark, sf_dir).where("k % 5 = 0").select(*[F.expr(c).alias(n) for c, n in zip(columns, names, strict=True)])
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -130,4 +137,4 @@ def write_raw(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-__all__ = ["FLAT", "LOG_SCHEMA", "LOG_SQL", "log", "raw_log", "scratch", "write_raw"]
+__all__ = ["FLAT", "LOG_SCHEMA", "LOG_SQL", "log", "raw_log", "scratch", "texts", "write_raw"]

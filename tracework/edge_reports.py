@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import _GROUPS, _WIDE, CAP, HOUR, MIN_UNIT, _A, _pred, _units, _units_sql, query
-from .desk import LOG_SQL, log, raw_log
+from . import desk
+from .desk import LOG_SQL, log
 from .functions.text import case_ids
 from .log_reports import _ANCHORS, _DOCS, _L, _LABELS, _LU, _MS, _STATES, _SYSTEMS, DAY_MS, ID, anchors, documents_of, labelled, systems, units_ms
 from .operators import audits as U
@@ -82,7 +83,7 @@ def edge_labels(spark, sf_dir):
 SELECT ds, n, v[CAST(floor(n * 0.5) AS BIGINT) + 1] AS p50, v[CAST(floor(n * 0.9) AS BIGINT) + 1] AS p90, v[n] AS longest FROM s""")
 def capture_gaps(spark, sf_dir):
     """Time between captured texts: list-index quantiles, and the longest."""
-    t = S.texts(raw_log(spark, sf_dir)).join(log(spark, sf_dir).select("event_id", "ds"), "event_id")
+    t = desk.texts(spark, sf_dir).join(log(spark, sf_dir).select("event_id", "ds"), "event_id")
     gap = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("session_id").orderBy("ts_ms", "event_id"))
     g = t.withColumn("gap", gap).where("gap is not null")
     return U.indexed_quantiles(g, "ds", "gap", {"p50": 0.5, "p90": 0.9}).join(g.groupBy("ds").agg(F.max("gap").alias("longest")), "ds")
@@ -93,7 +94,7 @@ SELECT ds, count(*) AS captures, round(avg(n), 6) AS mean, quantile_cont(m, 0.5)
 def ids_per_capture(spark, sf_dir):
     """Distinct identifiers of a capture (mean), and all of them (quantiles)."""
     ids = case_ids(F.col("text"))
-    c = S.texts(raw_log(spark, sf_dir)).join(log(spark, sf_dir).select("event_id", "ds"), "event_id").select("ds", F.size(F.array_distinct(ids)).alias("n"), F.size(ids).alias("m"))
+    c = desk.texts(spark, sf_dir).join(log(spark, sf_dir).select("event_id", "ds"), "event_id").select("ds", F.size(F.array_distinct(ids)).alias("n"), F.size(ids).alias("m"))
     return c.groupBy("ds").agg(F.count("*").alias("captures"), F.round(F.avg("n"), 6).alias("mean"), F.expr("percentile(m, 0.5)").alias("p50"), F.expr("percentile(m, 0.9)").alias("p90"), F.max("m").alias("most"))
 
 
@@ -125,7 +126,7 @@ def anchor_precision(spark, sf_dir):
     """Of each rule for anchors: how many fall into the execution of their case, and how many executions they find."""
     from .operators import labels as L
 
-    t = S.texts(raw_log(spark, sf_dir)).select("event_id", "session_id", "ts_ms", F.posexplode(case_ids(F.col("text"))).alias("pos", "case"))
+    t = desk.texts(spark, sf_dir).select("event_id", "session_id", "ts_ms", F.posexplode(case_ids(F.col("text"))).alias("pos", "case"))
     c = t.groupBy("event_id", "session_id", "ts_ms", "case").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     w = Window.partitionBy("event_id").orderBy(F.desc("n"), "pos")
     top = c.withColumn("second", F.lead("n").over(w)).withColumn("r", F.row_number().over(w)).where("r = 1")
@@ -143,7 +144,7 @@ def anchor_precision(spark, sf_dir):
 SELECT field, count(DISTINCT f.session_id || '|' || "case") AS found, round(count(DISTINCT f.session_id || '|' || "case") / (SELECT count(*) FROM ex), 6) AS recall FROM f JOIN ex ON ex.session_id = f.session_id AND contains(v, "case") GROUP BY 1""")
 def field_recall(spark, sf_dir):
     """Of all executions' cases, those that each field of their session holds."""
-    flat = log(spark, sf_dir).join(S.texts(raw_log(spark, sf_dir)).select("event_id", "text"), "event_id", "left").select("session_id", "el_name", "title", "url", "text")
+    flat = log(spark, sf_dir).join(desk.texts(spark, sf_dir).select("event_id", "text"), "event_id", "left").select("session_id", "el_name", "title", "url", "text")
     long = flat.unpivot(["session_id"], ["el_name", "title", "url", "text"], "field", "v").where("v is not null").distinct()
     runs = _runs(spark, sf_dir)
     hits = long.join(runs.select("session_id", "case"), "session_id").where(F.contains("v", F.col("case"))).groupBy("field").agg(F.count_distinct("session_id", "case").alias("found"))

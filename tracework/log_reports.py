@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalogue import _SQL, HOUR, MAX_UNIT, MIN_UNIT, _units, _units_sql, query
-from .desk import FLAT, LOG_SQL, log, raw_log, scratch, write_raw
+from . import desk
+from .desk import LOG_SQL, log, raw_log, scratch, write_raw
 from .functions.text import case_ids, element_prefix, url_route
 from .operators import audits as U
 from .operators import intervals as I
@@ -27,7 +28,7 @@ def units_ms(spark, sf_dir) -> DataFrame:
 
 
 def _texts(spark, sf_dir) -> DataFrame:
-    return S.texts(raw_log(spark, sf_dir))
+    return desk.texts(spark, sf_dir)
 
 
 @query(f"{_L} SELECT * FROM l")
@@ -52,7 +53,7 @@ def dataset_texts(spark, sf_dir):
     """The text table as Parquet, restricted to the events of one data set; both tables are written by data set."""
     events, texts = scratch(spark, "events"), scratch(spark, "texts")
     log(spark, sf_dir).write.partitionBy("ds").parquet(events)
-    _texts(spark, sf_dir).write.parquet(texts)
+    S.texts(raw_log(spark, sf_dir)).write.parquet(texts)
     own = spark.read.parquet(events).where("ds = 'd1'").select("event_id")
     return spark.read.parquet(texts).join(own, "event_id", "left_semi").select("event_id", "session_id", "ts_ms", "text")
 

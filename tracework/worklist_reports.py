@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import _A, _units, _units_sql, query
-from .desk import LOG_SQL, log, raw_log, scratch
+from . import desk
+from .desk import log, scratch
 from .functions import regulations as J
 from .functions.text import element_prefix, yen
 from .log_reports import _L
@@ -14,7 +15,6 @@ from .operators import audits as U
 from .operators import learn as M
 from .operators.grid import asof
 from .operators.rules import majority
-from .sources import event_log as S
 from .sources.event_log import activity, table
 
 #: Definitions of a worklist by kind of row: kind, mode, template of the note.
@@ -168,7 +168,7 @@ v AS (SELECT screen, prefix, count(*) AS votes FROM j WHERE screen IS NOT NULL G
 def screen_prefix_majority(spark, sf_dir):
     """The prefix of element ids that goes with each screen, by the first breadcrumb captured after a click."""
     crumb = F.regexp_extract("text", r"Main / ([^\n/]+) /", 1)
-    c = S.texts(raw_log(spark, sf_dir)).select("session_id", F.col("ts_ms").alias("at"), F.struct("event_id", crumb.alias("crumb")).alias("value"))
+    c = desk.texts(spark, sf_dir).select("session_id", F.col("ts_ms").alias("at"), F.struct("event_id", crumb.alias("crumb")).alias("value"))
     e = log(spark, sf_dir).where("el_id is not null").select("session_id", "ts_ms", element_prefix(F.col("el_id")).alias("prefix"))
     last = c.groupBy("session_id").agg(F.max(F.struct("at", "value")).alias("l"))
     j = asof(e, "session_id", "ts_ms", c, "at", "value").join(last, "session_id", "left")
