@@ -225,3 +225,24 @@ def test_pipeline_stages_keep_columns_and_rows(spark, docs):
             assert {r.doc_id for r in out.collect()} <= {d for d, k in verdicts.items() if k} | {1, 0}
     pieces = P.packing(spark, df, SF).collect()
     assert sum(p.length for p in pieces) == sum(len(library(Q.BYTE_FILE)(r[1])) for r in rows)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tracework.llm.common import use_checkpoints
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        use_checkpoints(Session())

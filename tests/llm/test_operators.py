@@ -91,13 +91,21 @@ def test_packing_windows():
     r = np.random.default_rng(1)
     sizes = r.integers(1, 2049, 300).tolist()
     parts = packing.windows(sizes)
-    assert all(sum(p[2] for p in g) <= 2048 for g in parts)
-    seen = collections.Counter()
-    for g in parts:
-        for i, _, n in g:
-            seen[i] += n
-    assert [seen[i] for i in range(300)] == sizes
-    assert len(parts) <= -(-sum(sizes) // 2048) + 1
+    assert all(sum(sizes[i] for i in g) <= 2048 for g in parts)
+    assert sorted(i for g in parts for i in g) == list(range(300))
+    assert len(parts) <= 1.15 * -(-sum(sizes) // 2048)  # whole pieces leave some room
+    pool = [(i, b"", 0, n) for i, n in enumerate(sizes)]
+    cut = packing.levelled(pool)
+    assert len(packing.windows([p[3] for p in cut])) <= 1.04 * -(-sum(sizes) // 2048)
+    covered = collections.defaultdict(list)
+    for i, _, start, n in cut:
+        covered[i].append((start, n))
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, m in sorted(covered[i]):
+            assert start == at
+            at += m
+        assert at == n
 
 
 @pytest.mark.parametrize("kind,file", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])

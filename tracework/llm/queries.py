@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from .urls import url_filter
 
 #: Default tokenizer files; every operator takes the path as a parameter.
 BYTE_FILE, WORD_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+TOKENIZERS = os.path.dirname(BYTE_FILE)
 
 
 def op1_quality_rules(spark, sf_dir):
