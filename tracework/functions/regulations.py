@@ -82,7 +82,7 @@ def sanitised(body: Column, markers: list[str]) -> Column:
 def screen_rows(text: Column) -> Column:
     """``array<map<column, cell>>`` of a captured worklist: the printed header gives the columns, a row begins at
     a row id and takes as many lines; other lines are passed over.  Empty without a header of 3 to 10
-    columns that begins with ID."""
+    columns, all different (a map holds each once), that begins with ID."""
     head = F.regexp_substr(text, F.lit(TABLE_HEAD))
     cols = F.filter(F.transform(F.split(F.regexp_extract(text, TABLE_HEAD, 1), "\n"), _trim), lambda c: c != "")
     width = F.size(cols)

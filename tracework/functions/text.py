@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the form of a case identifier.
+# The forms of a case identifier, of a route in a hash url, and of an amount in yen.
 CASE_ID = r"(?U)\b[A-Z]{1,6}\d*-\d{2,10}-\d{1,6}\b"
+ROUTE = r"(?U)#/([\w-]+)"
+YEN = r"([\d,]+)\s*円"
 
 
 def case_ids(text: Column) -> Column:
@@ -19,7 +21,7 @@ def case_prefix(case: Column) -> Column:
 
 def url_route(url: Column) -> Column:
     """The route of a hash url, null without one."""
-    return F.nullif(F.regexp_extract(url, r"(?U)#/([\w-]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, ROUTE, 1), F.lit(""))
 
 
 def element_prefix(element: Column) -> Column:
@@ -30,5 +32,5 @@ def element_prefix(element: Column) -> Column:
 
 def yen(text: Column) -> Column:
     """The amount before 円, with its commas removed; null if there is none."""
-    digits = F.regexp_extract(text, r"([\d,]+)\s*円", 1)
+    digits = F.regexp_extract(text, YEN, 1)
     return F.replace(digits, F.lit(","), F.lit("")).try_cast("bigint")
