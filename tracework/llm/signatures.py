@@ -10,6 +10,8 @@ a detection that lies inside one of an earlier rule (or in a longer one of the s
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,17 +193,19 @@ def _wide(names: str) -> str:
     return names.replace(" ", "  ")
 
 
-def gate() -> str:
-    """A pattern for the joined words that every match of a rule holds.
+def gate(joined: Column) -> Column:
+    """Whether the joined words hold what every match of a rule holds: a test for literals, and the start of a grant.
 
     A signature holds its keyword.  Of the mentions, all but the grants hold a form of "license", "spdx" or a full
     name; a grant holds its own pattern up to the name, of any family.  Every counted phrase holds "license".
     """
-    full = [n for _, _, names in FAMILIES for n in names.split("|") if not re.search("licen[sc]e", n)]
-    names = "|".join(s + "|" + f for _, s, f in FAMILIES)
-    grant = dict((kind, template) for kind, template, _ in TEMPLATES)["grant"].format(short=_wide(names), full="-")
-    own = sorted({keyword for _, keyword, _, _ in SIGNATURES if not re.search("licen[sc]e", keyword)})
-    return "licen[sc]e|spdx| (?:" + "|".join(map(_wide, full)) + ") | " + grant + "|" + "|".join(map(_wide, own))
+    names = [n for _, _, full in FAMILIES for n in full.split("|")] + [keyword for _, keyword, _, _ in SIGNATURES]
+    literals = ["license", "licence", "spdx", *sorted({_wide(n) for n in names if not re.search("licen[sc]e", n)})]
+    shorts = "|".join(s + "|" + f for _, s, f in FAMILIES)
+    grant = dict((kind, template) for kind, template, _ in TEMPLATES)["grant"].format(short=_wide(shorts), full="-")
+    verbs = re.search(r"\(\?:([a-z|]+)\)", grant)[1].split("|")
+    holds = lambda words: reduce(or_, [F.contains(joined, F.lit(w)) for w in words])
+    return holds(literals) | (holds(verbs) & joined.rlike(" " + grant))
 
 
 def signature_rules() -> list[tuple[int, str, str, str, float]]:
@@ -233,7 +237,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     a = docs.select("doc_id", words.alias("words"))
     low = F.translate(F.array_join("words", "  "), UPPER, LOWER)
     a = a.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.concat(F.lit(" "), low, F.lit(" ")).alias("joined"))
-    a = a.select("doc_id", "n_words", F.when(F.col("joined").rlike(gate()), F.col("joined")).alias("joined"))
+    a = a.select("doc_id", "n_words", F.when(gate(F.col("joined")), F.col("joined")).alias("joined"))
     parts = [F.split("joined", f" {p.replace(' ', '  ')} ").alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)]
     rules = F.array(
         *[
