@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .common import shared_path, table
 from .decontaminate import benchmark_spans, summarise
 from .html import extract
+from .negatives import hard_negatives, relabelled
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .phrases import collocations
 from .quality import quality
 from .secrets import labelled_sample, secret_scan, train
 from .secrets import summarise as list_secrets
@@ -19,6 +21,7 @@ from .signatures import license_scan
 from .substrings import repeated_words, without_repeats
 from .tokenfile import read_token_file, write_token_file
 from .urls import url_filter
+from .vectordup import near_vectors
 
 #: Default tokenizer files; every operator takes the path as a parameter.
 BYTE_FILE, WORD_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -70,5 +73,17 @@ def op10_html_extraction(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}

@@ -25,7 +25,31 @@ p AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS j
 k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.j) AS kept, count(*) AS n_kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.j = p.j WHERE c.j IS NULL GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM dw LEFT JOIN k USING (doc_id)"""
 
+_OP11 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+g AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM g JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+_OP12 = rf"""WITH pc AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+pw AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pc), nn AS (SELECT lang, sum(len(w)) AS n FROM pw GROUP BY 1),
+g AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM pw, (VALUES (1), (2), (3)) t(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 10), c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+x AS (SELECT c.lang, c.m, c.phrase, c.c AS a, k, array_to_string(list_slice(w, 1, k), ' ') AS p1, array_to_string(list_slice(w, k + 1, c.m), ' ') AS p2 FROM c, (VALUES (1), (2)) t(k) WHERE k < c.m),
+s AS (SELECT x.lang, x.m, x.phrase, a, k, l.c AS l, r.c AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.c AS HUGEINT) * r.c) AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = p1 JOIN f r ON r.lang = x.lang AND r.phrase = p2
+  QUALIFY row_number() OVER (PARTITION BY x.lang, x.phrase ORDER BY score, k) = 1),
+d AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, c AS a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS phrase FROM c WHERE m = 3) GROUP BY 1, 2),
+z AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank FROM s LEFT JOIN d ON d.lang = s.lang AND d.phrase = s.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM z JOIN nn USING (lang) WHERE rank <= 2000"""
+
+_OP13 = """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+c AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT p.b, c.low FROM c JOIN p ON p.a = c.node WHERE c.low < p.b),
+m AS (SELECT node, min(low) AS component_id FROM c GROUP BY 1), n AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON node = vec_id LEFT JOIN n ON a = vec_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": _OP8, "op9_decontaminate": _OP9}
+    return {"op8_substring_dedup": _OP8, "op9_decontaminate": _OP9, "op11_hard_negatives": _OP11, "op12_collocations": _OP12, "op13_near_vectors": _OP13}
