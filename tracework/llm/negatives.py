@@ -22,9 +22,9 @@ from .common import keep
 from .vectordup import usable
 
 #: Rows of a shard, anchors of a block, codewords of a half, rows of the sample that the codebooks are fitted on.
-CAPACITY, BLOCK, WORDS, SAMPLE = 16_384, 512, 32, 4096
-#: Rows that are scored at once, at least.
-CHUNK = 256
+CAPACITY, BLOCK, WORDS, SAMPLE = 16_384, 512, 16, 4096
+#: Rows that are scored at once, at least: at first, and at most.
+CHUNK, MOST = 256, 4096
 #: A negative's score as a percentage of its positive's.
 LOW, HIGH = 50, 95
 
@@ -36,7 +36,8 @@ def scaled(vector: Column) -> Column:
 
 def exact_type(largest: int, dim: int) -> type:
     """A type in which products of two vectors of ``dim`` integers up to ``largest`` are exact."""
-    return np.float64 if largest * largest * dim < 2**53 else object
+    size = largest * largest * dim
+    return np.float32 if size < 2**24 else np.float64 if size < 2**53 else object
 
 
 def codebook(sample: np.ndarray, words: int = WORDS, rounds: int = 10) -> np.ndarray:
@@ -73,10 +74,11 @@ class Shard:
         cell = codes[0] * len(books[1]) + codes[1]
         order = np.lexsort((ids, cell))
         self.ids, self.labels, self.x = ids[order], labels[order], x[order]
+        self.places = np.arange(len(ids))
         self.starts = np.searchsorted(cell[order], np.arange(len(books[0]) * len(books[1]) + 1))
 
     def visit(self, q: np.ndarray):
-        """(bound, rows) in chunks: no row of a later chunk scores more than a chunk's bound.  The first one's is infinite."""
+        """(bound, rows, scores) in chunks: no row of a chunk or a later one scores more than its bound; the first one's is infinite."""
         sides = []
         for part, book, radius in zip((q[: self.half], q[self.half :]), self.books, self.radii, strict=True):
             part = part.astype(np.float64)
@@ -87,25 +89,28 @@ class Shard:
         (b1, o1), (b2, o2) = sides
         if not b1 or not b2:
             return
-        width, starts = len(self.books[1]), self.starts
-        heap, seen, rows, size = [(-(b1[0] + b2[0]), 0, 0)], {(0, 0)}, [], 0
+        width, starts = len(self.books[1]), self.starts.tolist()
+        heap, seen, cells, size, most = [(-(b1[0] + b2[0]), 0, 0)], {0}, [], 0, CHUNK
         bound = np.inf
         while heap:
             low, i, j = heapq.heappop(heap)
-            if size >= CHUNK:
-                yield bound, np.concatenate(rows)
-                bound, rows, size = 1 - low * (1 + 1e-9 if low < 0 else 1 - 1e-9), [], 0  # rounding never lowers a bound
+            if size >= most:
+                yield bound, *self._scored(cells, q)
+                bound, cells, size, most = 1 - low * (1 + 1e-9 if low < 0 else 1 - 1e-9), [], 0, min(2 * most, MOST)  # rounding never lowers a bound
             cell = o1[i] * width + o2[j]
             a, b = starts[cell], starts[cell + 1]
             if b > a:
-                rows.append(np.arange(a, b))
+                cells.append((a, b))
                 size += b - a
-            for n in ((i + 1, j), (i, j + 1)):
-                if n not in seen and n[0] < len(b1) and n[1] < len(b2):
-                    seen.add(n)
-                    heapq.heappush(heap, (-(b1[n[0]] + b2[n[1]]), *n))
-        if rows:
-            yield bound, np.concatenate(rows)
+            for m, n in ((i + 1, j), (i, j + 1)):
+                if m < len(b1) and n < len(b2) and m * width + n not in seen:
+                    seen.add(m * width + n)
+                    heapq.heappush(heap, (-(b1[m] + b2[n]), m, n))
+        if cells:
+            yield bound, *self._scored(cells, q)
+
+    def _scored(self, cells: list[tuple[int, int]], q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([self.places[a:b] for a, b in cells]), np.concatenate([self.x[a:b] @ q for a, b in cells])
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, most: int):
@@ -116,12 +121,15 @@ def _best(scores: np.ndarray, ids: np.ndarray, most: int):
 def positives_in(shard: Shard, anchor: int, label: int, q: np.ndarray, most: int) -> list[tuple[int, int]]:
     """(score, id) of the first ``most`` other rows of the anchor's label, by score and then id."""
     scores, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for bound, rows in shard.visit(q):
-        if len(ids) == most and scores[-1] > bound:
+    for bound, rows, s in shard.visit(q):
+        full = len(ids) == most
+        if full and scores[-1] > bound:
             break
-        rows = rows[(shard.labels[rows] == label) & (shard.ids[rows] != anchor)]
-        s = (shard.x[rows] @ q).astype(np.int64)
-        scores, ids = _best(np.concatenate([scores, s]), np.concatenate([ids, shard.ids[rows]]), most)
+        if full:
+            better = s >= scores[-1]
+            rows, s = rows[better], s[better]
+        own = (shard.labels[rows] == label) & (shard.ids[rows] != anchor)
+        scores, ids = _best(np.concatenate([scores, s[own].astype(np.int64)]), np.concatenate([ids, shard.ids[rows[own]]]), most)
     return list(zip(scores.tolist(), ids.tolist(), strict=True))
 
 
@@ -131,17 +139,22 @@ def negatives_in(shard: Shard, label: int, q: np.ndarray, positives: list[int],
     found = [(none, none) for _ in positives]
     # a window is certified when it is full above the bound, or lies above it
     open_ = {k for k, p in enumerate(positives) if LOW * p <= HIGH * p}
-    for bound, rows in shard.visit(q):
-        open_ = {k for k in open_ if LOW * positives[k] <= 100 * bound and not (len(found[k][0]) == most and found[k][0][-1] > bound)}
+    for bound, rows, s in shard.visit(q):
+        full = {k: len(found[k][0]) == most for k in open_}
+        open_ = {k for k in open_ if LOW * positives[k] <= 100 * bound and not (full[k] and found[k][0][-1] > bound)}
         if not open_:
             break
-        rows = rows[shard.labels[rows] != label]
-        s = (shard.x[rows] @ q).astype(np.int64)
+        # scores that can still enter a window
+        least = min(int(found[k][0][-1]) if full[k] else LOW * positives[k] // 100 for k in open_)
+        better = s >= least
+        rows, s = rows[better], s[better].astype(np.int64)
+        other = shard.labels[rows] != label
+        ids, s = shard.ids[rows[other]], s[other]
         for k in open_:
             p = positives[k]
             inside = (100 * s >= LOW * p) & (100 * s <= HIGH * p)
             if inside.any():
-                found[k] = _best(np.concatenate([found[k][0], s[inside]]), np.concatenate([found[k][1], shard.ids[rows[inside]]]), most)
+                found[k] = _best(np.concatenate([found[k][0], s[inside]]), np.concatenate([found[k][1], ids[inside]]), most)
     return [list(zip(s.tolist(), i.tolist(), strict=True)) for s, i in found]
 
 
