@@ -15,6 +15,7 @@ from .operators import intervals as I
 from .operators import rules as R
 from .operators import scoring as S
 from .operators import sequence as Q
+from .operators.scan import large_keys
 from .sources.event_log import activity, table
 
 HOUR = 3_600_000_000
@@ -37,6 +38,11 @@ x AS (SELECT session_id, coalesce({'true' if opens else 'false'} AND lo >= great
 units AS (SELECT * FROM (SELECT session_id, CASE WHEN has_open THEN lo ELSE greatest(prev, f) END AS start_ts, t AS end_ts, has_open FROM x) WHERE end_ts - start_ts >= {MIN_UNIT})"""
 
 
+def large_sessions(spark, sf_dir) -> DataFrame | None:
+    """Sessions that windows have to cut."""
+    return large_keys(activity(spark, sf_dir), ["session_id"])
+
+
 def query(sql: str | None = None):
     def register(f):
         _QUERIES[f.__name__] = f
@@ -123,7 +129,7 @@ wide AS (SELECT session_id, start_ts, end_ts, CAST(start_ts - bk AS BIGINT) AS w
 
 @query(_WIDE + " SELECT * FROM wide")
 def bracket_expanded(spark, sf_dir):
-    return B.expand(_units(spark, sf_dir), B.bounds(activity(spark, sf_dir), "session_id", "t"), "session_id", CAP)
+    return B.expand(_units(spark, sf_dir), B.bounds(activity(spark, sf_dir), "session_id", "t"), "session_id", CAP, large=large_sessions(spark, sf_dir))
 
 
 @query(_WIDE + """, c AS (SELECT u.session_id, u.start_ts, u.end_ts, k, count(*) AS n FROM units u JOIN a ON a.session_id = u.session_id AND a.t BETWEEN u.start_ts AND u.end_ts GROUP BY 1, 2, 3, 4),
@@ -134,7 +140,7 @@ def bracket_segments(spark, sf_dir):
     units, a = _units(spark, sf_dir), activity(spark, sf_dir)
     inside = I.containment(units, a.select("session_id", "t", "k"), "session_id", "t")
     case = inside.groupBy("session_id", "start_ts", "end_ts").agg(F.expr("mode(k, true)").alias("case_id"))
-    return B.expand(units, B.bounds(a, "session_id", "t"), "session_id", CAP).join(case, ["session_id", "start_ts", "end_ts"])
+    return B.expand(units, B.bounds(a, "session_id", "t"), "session_id", CAP, large=large_sessions(spark, sf_dir)).join(case, ["session_id", "start_ts", "end_ts"])
 
 
 @query(f"""WITH {_units_sql()} SELECT u.session_id, u.start_ts, u.end_ts, count(t) AS n_events, count(*) FILTER (event_type = 'click') AS n_clicks, count(DISTINCT event_type) AS n_types,
@@ -189,11 +195,16 @@ def relative_position(spark, sf_dir):
     return inside.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("session_id", "event_id", pos.alias("position"))
 
 
-def _edges(units, bounds):
+def _edge_rows(units, bounds):
     """Distinct hour bins of the edges of units, strictly inside their session."""
     bins = F.array(F.floor((F.col("start_ts") - F.col("t0")) / HOUR), F.ceil((F.col("end_ts") - F.col("t0")) / HOUR))
     e = units.join(bounds, "session_id").select("session_id", F.explode(bins).alias("bin"), F.ceil((F.col("t1") - F.col("t0")) / HOUR).alias("n"))
-    return e.where("bin > 0 and bin < n").groupBy("session_id").agg(F.sort_array(F.collect_set("bin")).alias("bins"))
+    return e.where("bin > 0 and bin < n").select("session_id", "bin").distinct()
+
+
+def _edges(units, bounds):
+    """The same as a sorted array a session, for comparators that need one."""
+    return _edge_rows(units, bounds).groupBy("session_id").agg(F.sort_array(F.collect_set("bin")).alias("bins"))
 
 
 _EDGES = "SELECT DISTINCT session_id, bin FROM (SELECT session_id, unnest([floor((start_ts - t0) / 3600000000), ceil((end_ts - t0) / 3600000000)]) AS bin, ceil((t1 - t0) / 3600000000) AS n FROM {} JOIN bd USING (session_id)) WHERE bin > 0 AND bin < n"
@@ -219,9 +230,8 @@ _SCORED = f"WITH RECURSIVE {_units_sql()}, {_GROUPS}, {_BDS}, {_match_sql(_EDGES
 def _scores(spark, sf_dir, tolerances=(2, 5, 10)) -> DataFrame:
     """Matched boundaries of the gap sessions against the bracketed units."""
     bounds = B.bounds(activity(spark, sf_dir), "session_id", "t")
-    gold = _edges(_units(spark, sf_dir), bounds).withColumnRenamed("bins", "g")
-    pred = _edges(_pred(spark, sf_dir), bounds).withColumnRenamed("bins", "p")
-    return S.boundary_scores(gold, pred, bounds, "session_id", tolerances)
+    gold, pred = _edge_rows(_units(spark, sf_dir), bounds), _edge_rows(_pred(spark, sf_dir), bounds)
+    return S.matched_boundaries(gold, pred, bounds, ["session_id"], tolerances, large=large_sessions(spark, sf_dir))
 
 
 @query(f"{_SCORED} SELECT *, {_PRF} FROM sc")

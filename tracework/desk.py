@@ -6,14 +6,10 @@ items, signups are switches of the application, errors are keystrokes in a docum
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources.event_log import LOG_SCHEMA, table
+from .sources.event_log import LOG_SCHEMA, scratch, table
 
 #: The flat columns that the queries use, as SQL expressions of an event (k: its number, u: its user, t: microseconds).
 FLAT = {
@@ -119,17 +115,6 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where("k % 5 = 0").select(*[F.expr(c).alias(n) for c, n in zip(columns, names, strict=True)])
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir``; a local session may do without the setting."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = os.path.join(tempfile.gettempdir(), "tracework")
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def write_raw(spark: SparkSession, sf_dir: str) -> str:
     """The nested log as JSON lines in ``ds=*/chunk=*`` folders; returns the root."""
     root = scratch(spark, "log")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalogue import _GROUPS, _WIDE, CAP, HOUR, MIN_UNIT, _A, _pred, _units, _units_sql, query
+from .catalogue import _GROUPS, _WIDE, CAP, HOUR, MIN_UNIT, _A, _pred, _units, _units_sql, large_sessions, query
 from . import desk
 from .desk import LOG_SQL, log
 from .functions.text import case_ids
@@ -223,7 +223,7 @@ def file_integrity(spark, sf_dir):
 @query(f"{_WIDE}, g AS (SELECT lead(wide_start) OVER (PARTITION BY session_id ORDER BY wide_start, wide_end) - wide_end AS gap FROM wide) SELECT count(gap) AS gaps, quantile_cont(gap, 0.5) AS median, round(count(*) FILTER (gap = 0) / count(gap), 6) AS zero_share FROM g")
 def gap_summary(spark, sf_dir):
     """Gaps between consecutive widened units: their median, and the share of none at all."""
-    u = B.expand(_units(spark, sf_dir), B.bounds(activity(spark, sf_dir), "session_id", "t"), "session_id", CAP)
+    u = B.expand(_units(spark, sf_dir), B.bounds(activity(spark, sf_dir), "session_id", "t"), "session_id", CAP, large=large_sessions(spark, sf_dir))
     g = u.select((F.lead("wide_start").over(Window.partitionBy("session_id").orderBy("wide_start", "wide_end")) - F.col("wide_end")).alias("gap"))
     return g.agg(F.count("gap").alias("gaps"), F.expr("percentile(gap, 0.5)").alias("median"), F.round(F.count_if(F.col("gap") == 0) / F.count("gap"), 6).alias("zero_share"))
 
@@ -236,7 +236,7 @@ pa AS (SELECT session_id, wide_end AS truth, c AS c1, o2, c - o AS l1, c2 - o2 A
 def _pairs(spark, sf_dir):
     """Neighbouring widened units that touch and hold one opening and one close each: ``truth, c1, o2, l1, l2``."""
     a = activity(spark, sf_dir)
-    wide = B.expand(_units(spark, sf_dir), B.bounds(a, "session_id", "t"), "session_id", CAP).select("session_id", F.col("wide_start").alias("start_ts"), F.col("wide_end").alias("end_ts"))
+    wide = B.expand(_units(spark, sf_dir), B.bounds(a, "session_id", "t"), "session_id", CAP, large=large_sessions(spark, sf_dir)).select("session_id", F.col("wide_start").alias("start_ts"), F.col("wide_end").alias("end_ts"))
     inside = I.containment(wide, a.select("session_id", "t", "event_type"), "session_id", "t", how="inner")
     view, buy = F.col("event_type") == "view", F.col("event_type") == "purchase"
     br = inside.groupBy("session_id", "start_ts", "end_ts").agg(F.count_if(view).alias("no"), F.count_if(buy).alias("nc"), F.min(F.when(view, F.col("t"))).alias("o"), F.min(F.when(buy, F.col("t"))).alias("c"))
@@ -330,7 +330,7 @@ def _delivered_sql() -> str:
 def delivered_segments(spark, sf_dir):
     """The whole segmentation: widened units, what follows a session's last close, and sessions without any close."""
     a = activity(spark, sf_dir)
-    wide = B.expand(_units(spark, sf_dir), B.bounds(a, "session_id", "t"), "session_id", CAP).select("session_id", F.col("wide_start").alias("start_ts"), F.col("wide_end").alias("end_ts"), F.lit("bracket").alias("part"))
+    wide = B.expand(_units(spark, sf_dir), B.bounds(a, "session_id", "t"), "session_id", CAP, large=large_sessions(spark, sf_dir)).select("session_id", F.col("wide_start").alias("start_ts"), F.col("wide_end").alias("end_ts"), F.lit("bracket").alias("part"))
     closed = a.where("event_type = 'purchase'").select("session_id", F.lit(True).alias("closed")).distinct()
     tail = bracket_tail(spark, sf_dir).join(closed, "session_id", "left")
     return wide.unionByName(tail.select("session_id", "start_ts", "end_ts", F.when(F.col("closed"), "tail").otherwise("fallback").alias("part")))

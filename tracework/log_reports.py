@@ -12,6 +12,7 @@ from .functions.text import case_ids, element_prefix, url_route
 from .operators import audits as U
 from .operators import intervals as I
 from .operators import labels as L
+from .operators.scan import large_keys
 from .sources import event_log as S
 
 _L = f"WITH {LOG_SQL}"
@@ -27,6 +28,11 @@ def units_ms(spark, sf_dir) -> DataFrame:
     return _units(spark, sf_dir).select(F.concat(F.lit("ses_"), F.col("session_id").cast("string")).alias("session_id"), ms("start_ts"), ms("end_ts"))
 
 
+def large_sessions(spark, sf_dir) -> DataFrame | None:
+    """Sessions of the log that windows have to cut."""
+    return large_keys(log(spark, sf_dir).select("session_id"), ["session_id"])
+
+
 def _texts(spark, sf_dir) -> DataFrame:
     return desk.texts(spark, sf_dir)
 
@@ -217,17 +223,22 @@ st AS (SELECT session_id, ts_ms, event_id, {_BOTH('s')} AS system, coalesce({_BO
 
 def states(spark, sf_dir) -> DataFrame:
     """``session_id, ts_ms, event_id, system, route`` of every event, filled over its session: the url gives the route,
-    and on-screen texts only where no url of the session does.  Systems and texts are vocabularies of bounded support,
-    so they are collected; sources hold ``home`` as no route."""
+    and on-screen texts only where no url of the session does.  Texts meet the vocabularies in joins, each distinct one
+    once; sources hold ``home`` as no route."""
     flat = log(spark, sf_dir)
-    names = systems(flat).select("system", L.slug(F.col("system")).alias("token")).orderBy("system").collect()
-    notes = placeholders(flat).select("text", "route").orderBy("text").collect()
+    notes = S.keep(placeholders(flat).select("text", F.col("route").alias("by_note")), "notes")
+    titles = flat.select(F.explode(F.array("title", "tab_title")).alias("text"))
+    named = L.first_matches(titles, systems(flat).select(F.col("system").alias("fragment"))).select("text", L.slug(F.col("fragment")).alias("slug"))
+    shown = flat.select(L.strip(F.col("el_name")).alias("text"))
+    noted = L.first_matches(shown, notes.select(F.col("text").alias("fragment"))).join(notes.withColumnRenamed("text", "fragment"), "fragment").select("text", "by_note")
     route = url_route(F.col("url"))
-    d = flat.select(
-        "session_id", "ts_ms", "event_id", L.system_of(F.col("title"), F.col("tab_title"), [tuple(r) for r in names]).alias("system"),
-        F.when(route != "home", route).alias("by_url"), L.route_of_text(F.col("el_name"), [tuple(r) for r in notes]).alias("by_text"),
-    )
-    d = L.filled(d, ["session_id"], [F.col("ts_ms"), F.col("event_id")], ["system", "by_url", "by_text"])
+    d = flat.select("session_id", "ts_ms", "event_id", "title", "tab_title", L.strip(F.col("el_name")).alias("shown"), F.when(route != "home", route).alias("by_url"))
+    for column, found, name in (("title", named, "s1"), ("tab_title", named, "s2"), ("shown", notes, "n1"), ("shown", noted, "n2")):
+        d = d.join(found.toDF("_text", name), F.col(column) == F.col("_text"), "left").drop("_text")
+    d = d.select("session_id", "ts_ms", "event_id", F.coalesce("s1", "s2").alias("system"), "by_url", F.coalesce("n1", "n2").alias("by_text"))
+    large = large_sessions(spark, sf_dir)
+    d = d if large is None else S.keep(d, "states")  # cut sessions read it twice
+    d = L.filled(d, ["session_id"], [F.col("ts_ms"), F.col("event_id")], ["system", "by_url", "by_text"], DAY_MS, large)
     return d.select("session_id", "ts_ms", "event_id", "system", F.coalesce("by_url", "by_text").alias("route"))
 
 
@@ -243,7 +254,7 @@ _LABELS = f"""lb2 AS (SELECT um.session_id, start_ts, end_ts, coalesce(system, '
 def labelled(spark, sf_dir) -> DataFrame:
     """Units with the label ``system__route`` of the state at their end."""
     s = states(spark, sf_dir).withColumn("label", F.concat_ws("__", F.coalesce("system", F.lit("unknown")), F.coalesce("route", F.lit("unknown"))))
-    return L.state_at(units_ms(spark, sf_dir), s, "session_id", "end_ts", ["ts_ms", "event_id"], "label")
+    return L.state_at(units_ms(spark, sf_dir), s, "session_id", "end_ts", ["ts_ms", "event_id"], "label", DAY_MS, large_sessions(spark, sf_dir))
 
 
 @query(f"{_LU}, {_STATES}, {_LABELS} SELECT * FROM lb2")
@@ -304,8 +315,8 @@ def breadcrumbs(spark, sf_dir):
     bc = _texts(spark, sf_dir).select("session_id", F.col("ts_ms").alias("at"), F.struct("event_id", crumb.alias("crumb")).alias("value"))
     from .operators.grid import asof
 
-    u = asof(units_ms(spark, sf_dir), "session_id", "start_ts", bc, "at", "value").withColumnRenamed("before", "b0").drop("after")
-    u = asof(u, "session_id", "end_ts", bc, "at", "value")
+    u = asof(units_ms(spark, sf_dir), "session_id", "start_ts", bc, "at", "value", DAY_MS).withColumnRenamed("before", "b0").drop("after")
+    u = asof(u, "session_id", "end_ts", bc, "at", "value", DAY_MS)
     last = bc.groupBy("session_id").agg(F.max(F.struct("at", "value")).alias("l"))
     u = u.join(last, "session_id", "left")
     fresh = F.when(F.col("before.at") >= F.col("start_ts"), F.col("before.value.crumb"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.event_log import keep
+from .intervals import BUCKET
+from .scan import SLOT, nearby, running, slotted
 
 def bracket_pairs(
     df: DataFrame, key: str, ts: str, opens: Column, closes: Column, max_unit: int, min_unit: int, use_opens: bool = True
@@ -14,28 +17,30 @@ def bracket_pairs(
     A unit begins at the last opening strictly before its close, if that lies after the close before and
     within ``max_unit``; else at the first event of that reach.  Units shorter than ``min_unit`` are dropped,
     but still end the reach of the next one.  Two range windows and a lag; no loop.
+
+    Nothing older than ``max_unit`` can matter to a close, so windows run within time ranges that see that far back.
     """
-    order = Window.partitionBy(key).orderBy(ts)
-    rows = (
-        df.withColumn("_open", F.when(opens, F.col(ts)))
-        .withColumn("_last_open", F.max("_open").over(order.rangeBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_first", F.min(ts).over(order.rangeBetween(-max_unit, 0)))
-        .withColumn("_t0", F.min(ts).over(Window.partitionBy(key)))
-    )
-    done = rows.where(closes).withColumn("_prev", F.coalesce(F.lag(ts).over(order), F.col("_t0")))
-    reach = F.greatest(F.col("_prev"), F.col(ts) - max_unit)
+    d = df.select(key, ts, F.when(opens, F.col(ts)).alias("_open"), closes.alias("_close"))
+    order = Window.partitionBy(SLOT).orderBy(ts)
+    rows = nearby(d, [key], ts, max_unit).withColumns({
+        "_last_open": F.max("_open").over(order.rangeBetween(Window.unboundedPreceding, -1)),
+        "_first": F.min(ts).over(order.rangeBetween(-max_unit, 0)),
+    })
+    done = rows.where("_close").withColumn("_prev", F.lag(ts).over(order)).where("_own")
+    reach = F.greatest(F.col("_prev"), F.col(ts) - max_unit)  # of a close without a close before, ts - max_unit
     good = F.lit(use_opens) & (F.col("_last_open") >= reach)
     start = F.when(good, F.col("_last_open")).otherwise(F.greatest("_prev", "_first"))
     units = done.select(key, start.alias("start_ts"), F.col(ts).alias("end_ts"), F.coalesce(good, F.lit(False)).alias("has_open"))
     return units.where(F.col("end_ts") - F.col("start_ts") >= min_unit)
 
 
-def expand(units: DataFrame, bounds: DataFrame, key: str, cap: int) -> DataFrame:
+def expand(units: DataFrame, bounds: DataFrame, key: str, cap: int, width: int = BUCKET, large: DataFrame | None | str = "count") -> DataFrame:
     """Widens each unit by half the gap to its neighbours (session bounds at the edges), ``cap`` at most."""
-    w = Window.partitionBy(key).orderBy("start_ts", "end_ts")
-    u = units.join(bounds, key)
-    back = (F.col("start_ts") - F.coalesce(F.lag("end_ts").over(w), F.col("t0"))) / 2
-    ahead = (F.coalesce(F.lead("start_ts").over(w), F.col("t1")) - F.col("end_ts")) / 2
+    units = units if large is None else keep(units, "units")
+    near = running(slotted(units, [key], "start_ts", width, large), ["start_ts", "end_ts"], before={"_pe": F.col("end_ts")}, beyond={"_ns": F.col("start_ts")})
+    u = near.join(bounds, key)
+    back = (F.col("start_ts") - F.coalesce("_pe", "t0")) / 2
+    ahead = (F.coalesce("_ns", "t1") - F.col("end_ts")) / 2
     u = u.withColumn("_b", F.greatest(F.lit(0), F.least(F.floor(back), F.lit(cap))))
     u = u.withColumn("_a", F.greatest(F.lit(0), F.least(F.floor(ahead), F.lit(cap))))
     return u.select(key, "start_ts", "end_ts", (F.col("start_ts") - F.col("_b")).alias("wide_start"), (F.col("end_ts") + F.col("_a")).alias("wide_end"))

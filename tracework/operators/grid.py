@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import BUCKET
+from .scan import running, slotted
 
-def asof(df: DataFrame, key: str, ts: str, targets: DataFrame, at: str, value: str) -> DataFrame:
+def asof(df: DataFrame, key: str, ts: str, targets: DataFrame, at: str, value: str, width: int = BUCKET, large: DataFrame | None | str = "count") -> DataFrame:
     """Adds ``before`` and ``after``: structs (at, value) of the nearest targets up to ``ts`` and from it on.
 
-    One union and one shuffle on ``key``.  The look ahead is a running value in reverse order, as a frame
-    that ends at the last row would be read anew for each row.
+    One union and one shuffle on key and time range; what lies beyond a range is carried (see ``scan``).
     """
     hit = F.struct(F.col(at).alias("at"), F.col(value).alias("value"))
     right = targets.select(key, F.col(at).alias("_t"), hit.alias("_hit"))
     left = df.select(key, F.col(ts).alias("_t"), F.struct(*[f"`{c}`" for c in df.columns]).alias("_row"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    up_to_here = lambda *order: Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = slotted(left.unionByName(right, allowMissingColumns=True), [key], "_t", width, large)
     is_row = F.col("_row").isNotNull()
-    found = both.withColumn("before", F.last("_hit", True).over(up_to_here("_t", is_row, "_hit"))).withColumn(
-        "after", F.last("_hit", True).over(up_to_here(F.desc("_t"), is_row, F.desc("_hit")))
-    )
+    turned = [F.desc("_t"), is_row, F.desc("_hit")]
+    found = running(both, ["_t", is_row, "_hit"], last={"before": F.col("_hit")}, after={"after": F.col("_hit")}, reverse=turned, back=[F.col("_t"), F.col("_hit")])
     return found.where(is_row).select("_row.*", "before", "after")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CASE_ID, case_ids
+from .intervals import BUCKET
+from .scan import SLOT, running, slotted
 
 # The forms of window titles, labelled rows, memos, logins and breadcrumbs.
 MORE_PAGES = r"(?U)\s+and\s+\d+\s+more\s+pages?$"
@@ -51,16 +53,36 @@ def route_of_text(text: Column, table: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(s == k, F.lit(v)) for k, v in table], first_contained(s, table))
 
 
+def first_matches(texts: DataFrame, vocabulary: DataFrame, gram: int = 3) -> DataFrame:
+    """``text, fragment``: for each distinct ``text`` the least ``fragment`` of the vocabulary that it contains.
+
+    Texts and fragments meet by the part of ``gram`` characters that the fewest fragments share (shorter fragments by
+    themselves), so neither is collected and a vocabulary of any size is a join.  Nulls are left out; the empty
+    fragment is in every text.
+    """
+    def parts(c: Column, n: int) -> Column:
+        places = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.substr(c, i, F.lit(n)))
+
+    f, t = F.col("fragment"), F.col("text")
+    v = vocabulary.select("fragment").where(f.isNotNull()).distinct()
+    own = v.withColumn("part", F.explode(F.when(F.length(f) < gram, F.array(f)).otherwise(F.array_distinct(parts(f, gram)))))
+    shared = own.withColumn("n", F.count("*").over(Window.partitionBy("part")))
+    rarest = shared.groupBy("fragment").agg(F.min(F.struct("n", "part")).alias("x")).select("fragment", F.col("x.part").alias("part"))
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *[parts(t, n) for n in range(1, gram + 1)]))
+    d = texts.select("text").where(t.isNotNull()).distinct().withColumn("part", F.explode(every))
+    return d.join(rarest, "part").where(F.contains(t, f)).groupBy("text").agg(F.min("fragment").alias("fragment"))
+
+
 def first_place(path: Column) -> Column:
     return F.nullif(path, F.lit(""))
 
 
-def filled(df: DataFrame, keys: list[str], order: list[Column], values: list[str]) -> DataFrame:
+def filled(df: DataFrame, keys: list[str], order: list[Column], values: list[str], width: int = BUCKET, large: DataFrame | None | str = "count") -> DataFrame:
     """Each of ``values`` filled forward, then backward where nothing came before; empty strings count as nulls."""
-    back = [F.desc(c) if isinstance(c, str) else c.desc() for c in order]
-    ahead, behind = (Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, back))
     own = {v: F.nullif(F.col(v), F.lit("")) for v in values}
-    return df.withColumns({v: F.coalesce(F.last(c, True).over(ahead), F.last(c, True).over(behind)) for v, c in own.items()})
+    d = running(slotted(df, keys, order[0], width, large), order, last={f"_f_{v}": c for v, c in own.items()}, after={f"_b_{v}": c for v, c in own.items()})
+    return d.withColumns({v: F.coalesce(f"_f_{v}", f"_b_{v}") for v in values}).drop(*[f"_{s}_{v}" for v in values for s in "fb"], SLOT)
 
 
 def click_anchors(log: DataFrame) -> DataFrame:
@@ -80,16 +102,17 @@ def first_by_source(anchors: DataFrame) -> DataFrame:
     return anchors.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def state_at(units: DataFrame, states: DataFrame, key: str, at: str, order: list[str], value: str) -> DataFrame:
+def state_at(units: DataFrame, states: DataFrame, key: str, at: str, order: list[str], value: str, width: int = BUCKET, large: DataFrame | None | str = "count") -> DataFrame:
     """Adds ``value``: that of the last state with a time up to ``at``, the first one's if there is none.
 
     ``states(key, order..., value)`` in the order of ``order``, whose first column is the time.  One union and one
-    shuffle; the first value is a running one in reverse order.
+    shuffle on key and time range.
     """
     left = units.select(key, F.col(at).alias(order[0]), F.struct(*[f"`{c}`" for c in units.columns]).alias("_row"))
     both = left.unionByName(states.select(key, *order, F.struct(F.col(value).alias("v")).alias("_state")), allowMissingColumns=True)
     is_row = F.col("_row").isNotNull()
-    forward = Window.partitionBy(key).orderBy(order[0], is_row, *order[1:]).rowsBetween(Window.unboundedPreceding, 0)
-    reverse = Window.partitionBy(key).orderBy(F.desc(order[0]), is_row, *[F.desc(c) for c in order[1:]]).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_s", F.coalesce(F.last("_state", True).over(forward), F.last("_state", True).over(reverse)))
-    return found.where(is_row).select("_row.*", F.col("_s.v").alias(value))
+    turned = [F.desc(order[0]), is_row, *[F.desc(c) for c in order[1:]]]
+    found = running(
+        slotted(both, [key], order[0], width, large), [order[0], is_row, *order[1:]], last={"_f": F.col("_state")}, after={"_b": F.col("_state")}, reverse=turned, back=[F.col(c) for c in order]
+    )
+    return found.where(is_row).select("_row.*", F.coalesce("_f.v", "_b.v").alias(value))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.event_log import keep
+from .scan import running, slotted
+
 
 def boundary_matches(gold: Column, pred: Column, tolerance: int) -> Column:
     """Size of the largest one-to-one matching of two sorted arrays within ``tolerance``: a two-pointer sweep.
@@ -52,16 +55,32 @@ def prf(tp: Column, n_gold: Column, n_pred: Column, digits: int = 6) -> dict[str
 
 
 def boundary_scores(gold: DataFrame, pred: DataFrame, keys: DataFrame, key: str, tolerances: tuple[int, ...]) -> DataFrame:
-    """``key, tol, tp, n_gold, n_pred`` for every key of ``keys`` and every tolerance.
+    """``matched_boundaries`` of ``gold(key, g)`` and ``pred(key, p)``, which hold arrays."""
+    rows = lambda df, c: df.select(key, F.explode(c).alias("bin"))
+    return matched_boundaries(rows(gold, "g"), rows(pred, "p"), keys, [key], tolerances)
+
+
+def matched_boundaries(gold: DataFrame, pred: DataFrame, keys: DataFrame, by: list[str], tolerances: tuple[int, ...], width: int = 4096, large: DataFrame | None | str = "count") -> DataFrame:
+    """``by, tol, tp, n_gold, n_pred`` for every key of ``keys`` and every tolerance, from rows (by, bin); repeated bins count once.
 
-    ``gold(key, g)`` and ``pred(key, p)`` hold sorted arrays; a key that one of them lacks counts as empty there.
+    Boundaries farther apart than the tolerance can't be matched, so the merged ones are cut there, and each chain is
+    matched on its own: what is gathered is as long as boundaries follow each other that closely, not as a session.
     """
-    none = F.array().cast("array<bigint>")
-    both = keys.select(key).distinct().join(gold, key, "left").join(pred, key, "left")
-    both = both.select(key, F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
-    tp = F.array(*[F.struct(F.lit(t).alias("tol"), boundary_matches(F.col("g"), F.col("p"), t).cast("bigint").alias("tp")) for t in tolerances])
-    rows = both.select(key, F.size("g").cast("bigint").alias("n_gold"), F.size("p").cast("bigint").alias("n_pred"), F.explode(tp).alias("x"))
-    return rows.select(key, "x.tol", "x.tp", "n_gold", "n_pred")
+    side = lambda df, g: df.select(*by, F.col("bin").cast("bigint").alias("bin"), F.lit(g).alias("g"), F.lit(not g).alias("p"))
+    both = side(gold, True).unionByName(side(pred, False)).groupBy(*by, "bin").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    both = both if large is None else keep(both, "boundaries")
+    d = running(slotted(both, by, "bin", width, large), ["bin"], before={"_prev": F.col("bin")})
+    d = running(d, ["bin"], total={f"_c{t}": F.when(F.col("bin") - F.col("_prev") <= t, 0).otherwise(1) for t in tolerances})
+    chains = F.explode(F.array(*[F.struct(F.lit(t).alias("tol"), F.col(f"_c{t}").alias("chain")) for t in tolerances])).alias("x")
+    chains = d.select(*by, "bin", "g", "p", chains).groupBy(*by, "x.tol", "x.chain").agg(F.sort_array(F.collect_list(F.struct("bin", "g", "p"))).alias("e"), F.max("g").alias("g"), F.max("p").alias("p"))
+    bins = lambda c: F.transform(F.filter("e", lambda x: x[c]), lambda x: x["bin"])
+    tp = F.coalesce(*[F.when(F.col("tol") == t, boundary_matches(bins("g"), bins("p"), t)) for t in tolerances])
+    tp = chains.where("g and p").groupBy(*by, "tol").agg(F.sum(tp).alias("tp"))
+    sizes = both.groupBy(*by).agg(F.count_if("g").alias("n_gold"), F.count_if("p").alias("n_pred"))
+    every = keys.select(*by).distinct().withColumn("tol", F.explode(F.array(*map(F.lit, tolerances))))
+    out = every.join(sizes, by, "left").join(tp, [*by, "tol"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return out.select(*by, "tol", zero("tp"), zero("n_gold"), zero("n_pred"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,61 +1,54 @@
-"""Ordered-event operators: islands, fills and as-of lookups as window functions.
+"""Ordered-event operators: islands, fills and as-of lookups as segmented scans.
 
-Every ordering takes explicit tie-break columns; each operator costs one shuffle on its keys.
+Every ordering takes explicit tie-break columns; each operator shuffles its rows once, by key and time range, so that a
+key of any size is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import BUCKET
+from .scan import SLOT, running, slotted
 
-def _window(keys, order):
-    return Window.partitionBy(*keys).orderBy(*order)
+
+def _numbered(d: DataFrame, order, starts: Column, name: str) -> DataFrame:
+    flag = F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)
+    d = running(d.withColumn("_flag", flag), order, total={name: F.col("_flag")})
+    return d.withColumn(name, (F.col(name) + 1).cast("bigint")).drop("_flag", SLOT)
 
 
-def islands(df: DataFrame, keys, order, starts: Column, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys, order, starts: Column, name: str = "island", width: int = BUCKET) -> DataFrame:
     """Numbers runs from 1: a row where ``starts`` holds (null counts as false) begins a new one."""
-    flag = F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)
-    marked = df.withColumn("_flag", flag)
-    running = F.sum("_flag").over(_window(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn(name, (running + 1).cast("bigint")).drop("_flag")
+    return _numbered(slotted(df, keys, order[0], width), order, starts, name)
 
 
-def gap_sessions(df: DataFrame, keys, ts: str, gap: int, ties=()) -> DataFrame:
+def gap_sessions(df: DataFrame, keys, ts: str, gap: int, ties=(), width: int = BUCKET) -> DataFrame:
     """A new group begins where the time since the row before exceeds ``gap`` (equal stays together)."""
     order = [ts, *ties]
-    return islands(df, keys, order, F.col(ts) - F.lag(ts).over(_window(keys, order)) > gap, "group_no")
+    d = running(slotted(df, keys, ts, width), order, before={"_prev": F.col(ts)})
+    return _numbered(d, order, F.col(ts) - F.col("_prev") > gap, "group_no").drop("_prev")
 
 
-def change_runs(df: DataFrame, keys, order, value: str) -> DataFrame:
+def change_runs(df: DataFrame, keys, order, value: str, width: int = BUCKET) -> DataFrame:
     """A new group begins where ``value`` differs from the last value that is not null; nulls never begin one."""
-    before = F.last(value, ignorenulls=True).over(_window(keys, order).rowsBetween(Window.unboundedPreceding, -1))
-    return islands(df, keys, order, F.col(value) != before, "group_no")
+    d = running(slotted(df, keys, order[0], width), order, before={"_prev": F.col(value)})
+    return _numbered(d, order, F.col(value) != F.col("_prev"), "group_no").drop("_prev")
 
 
-def fill(df: DataFrame, keys, order, value: str, name: str) -> DataFrame:
+def fill(df: DataFrame, keys, order, value: str, name: str, width: int = BUCKET) -> DataFrame:
     """Forward fill; rows before the first value take that first value."""
-    w = _window(keys, order)
-    forward = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # looking ahead is a running value in reverse order: a frame to the last row is read anew for each row
-    backward = F.last(value, ignorenulls=True).over(_window(keys, [F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(name, F.coalesce(forward, backward))
+    d = running(slotted(df, keys, order[0], width), order, last={"_fwd": F.col(value)}, after={"_bwd": F.col(value)})
+    return d.withColumn(name, F.coalesce("_fwd", "_bwd")).drop("_fwd", "_bwd", SLOT)
 
 
-def neighbours(df: DataFrame, keys, ts: str, is_target: Column, ties=()) -> DataFrame:
+def neighbours(df: DataFrame, keys, ts: str, is_target: Column, ties=(), width: int = BUCKET) -> DataFrame:
     """Adds the times of the nearest targets: ``before`` (up to this row), ``strictly_before`` (earlier
     time) and ``after`` (from this row on)."""
-    w = _window(keys, [ts, *ties])
-    ahead = _window(keys, [F.desc(c) for c in (ts, *ties)])
-    by_time = Window.partitionBy(*keys).orderBy(ts)
-    target = F.when(is_target, F.col(ts))
-    return (
-        df.withColumn("_t", target)
-        .withColumn("before", F.last("_t", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("strictly_before", F.max("_t").over(by_time.rangeBetween(Window.unboundedPreceding, -1)))
-        .withColumn("after", F.last("_t", True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_t")
-    )
+    at = F.when(is_target, F.col(ts))
+    d = running(slotted(df, keys, ts, width), [ts, *ties], last={"before": at}, earlier={"strictly_before": at}, after={"after": at})
+    return d.drop(SLOT)
 
 
 def nearest(ts: Column, before: Column, after: Column, most: int) -> Column:

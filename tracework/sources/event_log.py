@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``; a local session may do without the setting."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = os.path.join(tempfile.gettempdir(), "tracework")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: its lineage ends."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalogue import _SQL, _WIDE, CAP, HOUR, MIN_UNIT, SNAP, _A, _units, _units_sql, query
+from .catalogue import _SQL, _WIDE, CAP, HOUR, MIN_UNIT, SNAP, _A, _units, _units_sql, large_sessions, query
 from .functions.text import element_prefix
 from .operators import brackets as B
 from .operators import grid as G
@@ -27,7 +27,7 @@ def bracket_tail(spark, sf_dir):
     close, over all of it."""
     a, bounds = activity(spark, sf_dir), _bounds(spark, sf_dir)
     closes = a.where("event_type = 'purchase'").groupBy("session_id").agg(F.max("t").alias("lc"))
-    wide = B.expand(_units(spark, sf_dir), bounds, "session_id", CAP).groupBy("session_id").agg(F.max("wide_end").alias("fl"))
+    wide = B.expand(_units(spark, sf_dir), bounds, "session_id", CAP, large=large_sessions(spark, sf_dir)).groupBy("session_id").agg(F.max("wide_end").alias("fl"))
     span = bounds.join(closes, "session_id", "left").withColumn("t0", F.coalesce("lc", "t0"))
     units = G.grid_units(span, _targets(spark, sf_dir, "click"), _targets(spark, sf_dir, "signup"), "session_id", HOUR, 24 * HOUR, SNAP)
     u = units.join(span.join(wide, "session_id", "left"), "session_id")
