@@ -3,6 +3,7 @@
 import collections
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -249,3 +250,11 @@ def test_pipeline_links_from_eighty_percent(spark):
     docs = spark.createDataFrame(pairs, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == list(range(0, 40, 2))
     assert all(r.kept for r in near_duplicates(docs).collect())
+
+
+def test_one_url_of_two_hundred_segments(spark):
+    began = time.time()
+    urls = [f"http://h{i % 9}.example.org/en/a{i % 5}/{i}" for i in range(1000)] + ["http://h0.example.org/" + "/".join(f"s{i}" for i in range(200))]
+    got = {r.page_id: r for r in url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
+    assert len(got) == 1001 and got[1000].template == "h0.example.org/" + "/".join(f"s{i}" for i in range(200))
+    assert got[1].template == "h1.example.org/en/a1/<n>" and time.time() - began < 60

@@ -9,7 +9,7 @@ is rejected when its smoothed share of bad labels reaches a bound.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +24,6 @@ BAD_WORDS = r"(?:^|[./_-])(?:ads?|adult|bets?|betting|casino|dating|jackpot|malw
 
 @dataclass(frozen=True)
 class Tree:
-    #: Segments that get levels of their own, as far as the paths go; what lies deeper is one "**" level.
-    depth: int = 16
     #: A place with more values than this, each seen fewer than ``spread`` times on average, is a wildcard.
     values: int = 20
     spread: int = 5
@@ -71,7 +69,17 @@ def _shape(segment: Column) -> Column:
     )
 
 
-def _merged(leaf: DataFrame, tree: Tree) -> DataFrame:
+def _depth(seen: DataFrame) -> int:
+    """How many levels can have siblings in any host, and one more.
+
+    Below the length of a host's second longest shape there is a single branch: no wildcard, merge or other evidence.
+    """
+    lengths = seen.groupBy("host", F.size("shape").alias("s")).agg(F.count("*").alias("c"))
+    longer = F.sum("c").over(Window.partitionBy("host").orderBy(F.desc("s")))
+    return 1 + (lengths.withColumn("longer", longer).where("longer > 1").agg(F.max("s")).first()[0] or 0)
+
+
+def _merged(leaf: DataFrame, tree: Tree, depth: int) -> DataFrame:
     """``leaf`` (host, template, labelled, bad) with ``n`` and ``b``, the counts that each template is judged on.
 
     Level by level from the host, siblings with labels enough are merged, in the order of their
@@ -80,7 +88,7 @@ def _merged(leaf: DataFrame, tree: Tree) -> DataFrame:
     """
     none = F.lit(None).cast("bigint")
     leaf = leaf.withColumns({"n": F.col("labelled"), "b": F.col("bad"), "given_n": none, "given_b": none, "path": F.col("template")})
-    for level in range(1, tree.depth + 2):
+    for level in range(1, depth + 1):
         node = F.when(F.size("path") >= level, F.slice("path", 1, level))
         leaf = leaf.withColumn("node", node)
         nodes = leaf.where("node is not null").groupBy("host", "node").agg(F.sum("labelled").alias("own_n"), F.sum("bad").alias("own_b"))
@@ -114,7 +122,7 @@ def _merged(leaf: DataFrame, tree: Tree) -> DataFrame:
             own = F.when(strong, F.col(f"all_{x}")).otherwise(F.coalesce(above, F.col(f"own_{x}")))
             new[x] = F.when(here, own).otherwise(F.col(x))
             new[f"given_{x}"] = F.when(here, F.when(merged, F.col(f"all_{x}")).when(~strong, above))
-        one = F.concat(F.slice("path", 1, level - 1), F.array("name"), F.slice("path", level + 1, tree.depth + 1))
+        one = F.concat(F.slice("path", 1, level - 1), F.array("name"), F.slice("path", level + 1, F.greatest(F.lit(1), F.size("path"))))
         new["path"] = F.when(here & merged, one).otherwise(F.col("path"))
         leaf = leaf.select("host", "template", "labelled", "bad", *[c.alias(x) for x, c in new.items()])
         leaf = keep(leaf, "branches")
@@ -128,25 +136,21 @@ def url_filter(pages: DataFrame, rules=RULES, tree: Tree = Tree(), bad_words: st
     holds one of ``bad_words``; pages without a rule get their template's verdict, and ``allow`` where it
     has none.  One row per input row, repeated rows included; null urls and urls without ``://`` have an
     empty host and path, no rule and ``allow``; an empty table gives no rows; urls of any length and depth
-    are read whole.  Other columns are left out, so clashing names do no harm.  A hot host only adds to
+    are read whole: levels go as deep as a host has siblings (``_depth``).  Other columns are left out, so clashing names do no harm.  A hot host only adds to
     partial counts: templates, not pages, are grouped by host.
     """
     host, path = split_url(F.col("url"))
     a = pages.select("page_id", host.alias("host"), path.alias("path"))
     a = a.withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
-    segments = F.array_remove(F.split("path", "/"), "")
-    deepest = a.agg(F.max(F.size(segments))).first()[0] or 0
-    tree = replace(tree, depth=max(1, min(tree.depth, deepest)))
-    deep = F.when(F.size("segs") > tree.depth, F.array(F.lit("**"))).otherwise(F.expr("cast(array() as array<string>)"))
-    a = a.withColumn("segs", segments)
-    a = a.withColumn("shape", F.concat(F.transform(F.slice("segs", 1, tree.depth), _shape), deep))
+    a = a.withColumn("shape", F.transform(F.array_remove(F.split("path", "/"), ""), _shape))
     worded = F.when(F.concat("host", "path").rlike(bad_words), 1)
     label = F.when(F.col("m").isNotNull(), (F.col("m.verdict") == "block").cast("int")).otherwise(worded)
     seen = a.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.sum(label).alias("bad"))
     seen = keep(seen.withColumn("bad", F.coalesce("bad", F.lit(0))), "shapes")
+    depth = _depth(seen)
     # level by level from the host: a place with too many values becomes a wildcard below its parent
     seen = seen.withColumn("template", F.expr("cast(array() as array<string>)"))
-    for level in range(tree.depth + 1):
+    for level in range(depth):
         here = F.get("shape", F.lit(level))
         counts = (
             seen.where(here.isNotNull())
@@ -157,13 +161,19 @@ def url_filter(pages: DataFrame, rules=RULES, tree: Tree = Tree(), bad_words: st
             .where((F.col("values") > tree.values) & (F.col("pages") < tree.spread * F.col("values")))
             .select("host", "template", F.lit("*").alias("wild"))
         )
-        grown = F.when(here.isNull(), F.col("template")).otherwise(
-            F.concat("template", F.array(F.coalesce("wild", here)))
-        )
-        seen = seen.join(counts, ["host", "template"], "left").withColumn("template", grown).drop("wild")
+        if counts.isEmpty():
+            name = here
+        else:
+            seen, name = seen.join(counts, ["host", "template"], "left"), F.coalesce("wild", here)
+        grown = F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.array(name)))
+        seen = seen.withColumn("template", grown).drop("wild")
+        if name is not here:
+            seen = keep(seen, "templates")  # each level reads the one above it twice
+    rest = F.when(F.size("shape") > depth, F.slice("shape", depth + 1, F.greatest(F.lit(1), F.size("shape")))).otherwise(F.expr("cast(array() as array<string>)"))
+    seen = seen.withColumn("template", F.concat("template", rest))
     seen = keep(seen, "templates")
     leaf = seen.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    leaf = _merged(leaf, tree)
+    leaf = _merged(leaf, tree, depth)
     leaf = leaf.withColumn("purity", (F.col("b") + tree.smoothing / 2) / (F.col("n") + tree.smoothing))
     judged = seen.select("host", "shape", "template").join(
         leaf.select("host", "template", "purity"), ["host", "template"]
