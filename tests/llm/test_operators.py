@@ -115,8 +115,7 @@ def test_encoders_equal_the_library(spark, kind, file):
 
     path = f"{queries.TOKENIZERS}/{file}"
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [x for _, x, _ in ODD if x] + ["<|endoftext|>", "it's 'RE ½ ΑΣ İ ǅ", "\x1c\x85 a\r\n\n b"]
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [x for _, x, _ in ODD if x] + ["<|endoftext|>", "a <|endoftext|>b  <|startoftext|> c<|END|>", "x<|endoftext|><|endoftext|>y \n <|endoftext|>", "it's 'RE ½ ΑΣ İ ǅ", "\x1c\x85 a\r\n\n b"]
     for text in texts:
         assert np.frombuffer(encoder(path, kind).encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
@@ -258,3 +257,12 @@ def test_one_url_of_two_hundred_segments(spark):
     got = {r.page_id: r for r in url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
     assert len(got) == 1001 and got[1000].template == "h0.example.org/" + "/".join(f"s{i}" for i in range(200))
     assert got[1].template == "h1.example.org/en/a1/<n>" and time.time() - began < 60
+
+
+def test_a_text_of_four_thousand_license_phrases(spark):
+    text = "mit license and apache license. " * 2_000
+    began = time.time()
+    r = signatures.license_scan(spark.createDataFrame([(1, text), (2, "the mit license")], "doc_id bigint, text string")).where("doc_id = 1").first()
+    assert (r.n_base, r.first_word, r.last_word, r.base_labels) == (4_000, 0, 9_998, "apache,mit") and time.time() - began < 60
+    starts = [d.start for d in r.detections]
+    assert starts == sorted(starts) and len(starts) >= 4_000

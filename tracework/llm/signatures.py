@@ -224,6 +224,27 @@ def _count(part: Column) -> Column:
     return ((F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2).cast("bigint")
 
 
+#: Items of a part of a growing list: what is appended to is copied, so lists grow in parts.
+_PART = 128
+
+
+def _nothing(kind: str) -> list[Column]:
+    return [F.array().cast(f"array<{kind}>").alias("full"), F.array().cast(kind).alias("part")]
+
+
+def _pushed(s: Column, item: Column) -> list[Column]:
+    """The list of a fold's state with one more item."""
+    longer, done = F.array_append(s["part"], item), F.size(s["part"]) >= _PART - 1
+    return [
+        F.when(done, F.array_append(s["full"], longer)).otherwise(s["full"]).alias("full"),
+        F.when(done, F.slice(s["part"], 1, 0)).otherwise(longer).alias("part"),
+    ]
+
+
+def _all_pushed(s: Column) -> Column:
+    return F.flatten(F.array_append(s["full"], s["part"]))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections``.
 
@@ -249,26 +270,39 @@ def license_scan(docs: DataFrame) -> DataFrame:
     )
     a = a.select("doc_id", "n_words", "joined", *parts, F.when(F.col("joined").isNotNull(), rules).alias("rules"))
 
+    detection = "array<struct<rank: int, label: string, start: bigint, stop: bigint, sure: double>>"
+
     def found(rule: Column) -> Column:
-        gaps = F.split("joined", rule["pattern"])
-        hits = F.regexp_extract_all("joined", rule["pattern"], F.lit(0))
-        before = lambda i: F.aggregate(F.slice(gaps, 1, i), F.lit(0).cast("bigint"), lambda s, g: s + _count(g)) + F.aggregate(F.slice(hits, 1, i - 1), F.lit(0).cast("bigint"), lambda s, h: s + _count(h))
-        return F.transform(
-            hits,
-            lambda h, i: F.struct(
-                rule["rank"].alias("rank"), rule["label"].alias("label"), before(i + 1).alias("start"), (before(i + 1) + _count(h)).alias("stop"), rule["sure"].alias("sure")
-            ),
-        )
+        """The matches of a rule in one pass: words of the gap before each, then its own."""
+        sizes = F.zip_with(F.split("joined", rule["pattern"]), F.regexp_extract_all("joined", rule["pattern"], F.lit(0)), lambda g, h: F.struct(_count(g).alias("gap"), _count(h).alias("own")))
+
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + x["gap"]
+            stop = start + x["own"]
+            one = F.struct(rule["rank"].alias("rank"), rule["label"].alias("label"), start.alias("start"), stop.alias("stop"), rule["sure"].alias("sure"))
+            return F.when(x["own"].isNull(), s).otherwise(F.struct(stop.alias("at"), *_pushed(s, one)))
+
+        empty = F.struct(F.lit(0).cast("bigint").alias("at"), *_nothing(detection))
+        return F.aggregate(sizes, empty, step, _all_pushed)
 
     hit = F.filter(
         "rules", lambda r: F.contains(F.col("joined"), r["keyword"]) & F.regexp_like(F.col("joined"), r["pattern"])
     )
     a = a.withColumn("hit", hit)
     a = a.withColumn("all", F.flatten(F.transform("hit", found)))
-    covers = lambda e, d: (e["start"] <= d["start"]) & (d["stop"] <= e["stop"]) & (
-        (e["rank"] < d["rank"]) | ((e["stop"] - e["start"] > d["stop"] - d["start"]) & (e["rank"] <= d["rank"]))
-    )
-    kept = F.filter("all", lambda d: ~F.exists("all", lambda e: covers(e, d)))
+    # a detection inside one of a rule that comes before is dropped: by falling length from each start, with those still open
+    order = F.array_sort(F.transform("all", lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("far"), d["rank"].alias("rank"), d.alias("d"))))
+
+    def sweep(s: Column, x: Column) -> Column:
+        d = x["d"]
+        inside = F.exists(s["open"], lambda e: (e["stop"] >= d["stop"]) & (e["rank"] < d["rank"]))
+        still = F.filter(s["open"], lambda e: e["stop"] > d["start"])
+        return F.when(inside, s).otherwise(
+            F.struct(F.array_append(still, F.struct(d["stop"].alias("stop"), d["rank"].alias("rank"))).alias("open"), *_pushed(s, d))
+        )
+
+    none = F.struct(F.array().cast("array<struct<stop: bigint, rank: int>>").alias("open"), *_nothing(detection))
+    kept = F.aggregate(order, none, sweep, _all_pushed)
     a = a.withColumn("kept", kept)
     places = [F.coalesce(F.size(f"p{i}") - 1, F.lit(0)).cast("bigint") for i in range(len(PHRASES))]
     places = [F.when(F.col("joined").isNull(), F.lit(0).cast("bigint")).otherwise(n) for n in places]
