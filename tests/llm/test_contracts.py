@@ -41,7 +41,6 @@ def empty(spark):
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
