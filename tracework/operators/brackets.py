@@ -34,15 +34,37 @@ def bracket_pairs(
     return units.where(F.col("end_ts") - F.col("start_ts") >= min_unit)
 
 
-def expand(units: DataFrame, bounds: DataFrame, key: str, cap: int, width: int = BUCKET, large: DataFrame | None | str = "count") -> DataFrame:
+def bracket_settings(df: DataFrame, key: str, ts: str, opens: Column, closes: Column, settings: list[dict], min_unit: int) -> DataFrame:
+    """``key, setting, cap, start_ts, end_ts``: the units of ``bracket_pairs`` under several settings, in one pass.
+
+    A setting is a dict of name, reach, opens (whether openings count) and cap; windows are computed once, the first
+    event of a reach once a reach, and settings part at the closing events only.
+    """
+    reaches = sorted({s["reach"] for s in settings})
+    d = df.select(key, ts, F.when(opens, F.col(ts)).alias("_open"), closes.alias("_close"))
+    order = Window.partitionBy(SLOT).orderBy(ts)
+    rows = nearby(d, [key], ts, max(reaches)).withColumns(
+        {"_last_open": F.max("_open").over(order.rangeBetween(Window.unboundedPreceding, -1))} | {f"_f{i}": F.min(ts).over(order.rangeBetween(-r, 0)) for i, r in enumerate(reaches)}
+    )
+    done = rows.where("_close").withColumn("_prev", F.lag(ts).over(order)).where("_own")
+    each = []
+    for s in settings:
+        good = F.lit(s["opens"]) & (F.col("_last_open") >= F.greatest(F.col("_prev"), F.col(ts) - s["reach"]))
+        start = F.when(good, F.col("_last_open")).otherwise(F.greatest("_prev", f"_f{reaches.index(s['reach'])}"))
+        each.append(F.struct(F.lit(s["name"]).alias("setting"), F.lit(s["cap"]).cast("bigint").alias("cap"), start.alias("start_ts")))
+    u = done.select(key, F.col(ts).alias("end_ts"), F.explode(F.array(*each)).alias("s")).select(key, "s.*", "end_ts")
+    return u.where(F.col("end_ts") - F.col("start_ts") >= min_unit)
+
+
+def expand(units: DataFrame, bounds: DataFrame, key: str, cap: int | Column, width: int = BUCKET, large: DataFrame | None | str = "count") -> DataFrame:
     """Widens each unit by half the gap to its neighbours (session bounds at the edges), ``cap`` at most."""
     units = units if large is None else keep(units, "units")
     near = running(slotted(units, [key], "start_ts", width, large), ["start_ts", "end_ts"], before={"_pe": F.col("end_ts")}, beyond={"_ns": F.col("start_ts")})
-    u = near.join(bounds, key)
+    u, most = near.join(bounds, key), cap if isinstance(cap, Column) else F.lit(cap)
     back = (F.col("start_ts") - F.coalesce("_pe", "t0")) / 2
     ahead = (F.coalesce("_ns", "t1") - F.col("end_ts")) / 2
-    u = u.withColumn("_b", F.greatest(F.lit(0), F.least(F.floor(back), F.lit(cap))))
-    u = u.withColumn("_a", F.greatest(F.lit(0), F.least(F.floor(ahead), F.lit(cap))))
+    u = u.withColumn("_b", F.greatest(F.lit(0), F.least(F.floor(back), most)))
+    u = u.withColumn("_a", F.greatest(F.lit(0), F.least(F.floor(ahead), most)))
     return u.select(key, "start_ts", "end_ts", (F.col("start_ts") - F.col("_b")).alias("wide_start"), (F.col("end_ts") + F.col("_a")).alias("wide_end"))
 
 

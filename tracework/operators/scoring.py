@@ -83,6 +83,19 @@ def matched_boundaries(gold: DataFrame, pred: DataFrame, keys: DataFrame, by: li
     return out.select(*by, "tol", zero("tp"), zero("n_gold"), zero("n_pred"))
 
 
+def drawn_bins(sizes: DataFrame, key: str, seeds: int, large: DataFrame | None | str = "count") -> DataFrame:
+    """``key, seed, bin``: of each row of ``sizes(key, n, np)`` and seed ``np`` distinct bins inside (0, n).
+
+    Numbers drawn by a hash with replacement, from as many fewer as there are draws, become distinct ones of the whole
+    range when each is moved by its rank among them.
+    """
+    d = sizes.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("np").cast("int"))))
+    number = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("seed").cast("string"), F.col(key).cast("string"), F.col("i").cast("string")).cast("binary")), 1, 7), 16, 10).cast("bigint")
+    d = d.select(key, "seed", "i", (number % (F.col("n") - F.col("np"))).alias("u"))
+    d = running(slotted(d, [key, "seed"], "u", 4096, large), ["u", "i"], total={"_r": F.lit(1)})
+    return d.select(key, "seed", (F.col("u") + F.col("_r")).alias("bin"))
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """``a, b, n`` with row, column and total sums."""
     t = df.groupBy(a, b).agg(F.count("*").alias("n"))

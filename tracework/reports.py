@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalogue import _A, _GROUPS, HOUR, SNAP, _edges, _EDGES, _pred, _units, _units_sql, query
+from .catalogue import _A, _GROUPS, HOUR, SNAP, _edge_rows, _EDGES, _pred, _units, _units_sql, query
 from .functions.text import case_ids
 from .operators import audits as U
 from .operators import brackets as B
 from .operators import grid as G
 from .operators import rules as R
 from .operators import suppress as X
-from .sources.event_log import activity, table
+from .sources.event_log import activity, keep, table
 from .streaming import counts as C
 
 _BD = "bd AS (SELECT session_id, min(t) AS t0, max(t) AS t1 FROM a GROUP BY 1)"
@@ -81,9 +81,12 @@ wd AS (SELECT *, (SELECT count(*) FROM g WHERE g.session_id = i.session_id AND b
 SELECT session_id, n, k, round(avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END), 6) AS window_diff FROM wd GROUP BY 1, 2, 3 UNION ALL
 SELECT session_id, n, k, CASE WHEN ng <> np THEN 1.0 ELSE 0.0 END FROM k WHERE n <= k""")
 def windowdiff(spark, sf_dir):
-    bounds = _bounds(spark, sf_dir)
-    one = lambda units: _edges(units, bounds).select("session_id", F.explode("bins").alias("bin"))
-    return G.window_diff(one(_units(spark, sf_dir)), one(_pred(spark, sf_dir)), bounds, "session_id", HOUR)
+    """Edges and bounds are made once; what follows reads these."""
+    bounds = keep(_bounds(spark, sf_dir), "bounds")
+    side = lambda units, d: _edge_rows(units, bounds).withColumn("side", F.lit(d))
+    edges = keep(side(_units(spark, sf_dir), 1).unionByName(side(_pred(spark, sf_dir), 2)), "edges")
+    one = lambda d: edges.where(F.col("side") == d).drop("side")
+    return G.window_diff(one(1), one(2), bounds, "session_id", HOUR)
 
 
 @query("""WITH d AS (SELECT doc_id, quality, lang = 'en' AS g FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL), c AS (SELECT count(*) FILTER (g) AS n, count(*) AS m FROM d),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalogue import _BDS, _EDGES, _GROUPS, _PAIRS, _PRF, _SCORED, HOUR, MAX_UNIT, MIN_UNIT, _A, _edges, _match_sql, _pred, _scores, _units, _units_sql, query
+from .catalogue import _BDS, _EDGES, _GROUPS, _PAIRS, _PRF, _SCORED, GAP, HOUR, MAX_UNIT, MIN_UNIT, _A, _edge_rows, _edges, _match_sql, _pred, _scores, _units, _units_sql, large_sessions, query
 from .operators import audits as U
 from .operators import brackets as B
 from .operators import intervals as I
 from .operators import scoring as S
-from .sources.event_log import activity, table
+from .operators import sequence as Q
+from .sources.event_log import activity, keep, table
 
 
 def _bounds(spark, sf_dir):
@@ -30,21 +31,34 @@ def leave_one_out(spark, sf_dir):
     return both.withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
 
 
-_DRAWN = "rb AS (SELECT DISTINCT session_id, bin FROM (SELECT session_id, 1 + CAST(concat('0x', substr(md5(concat_ws('-', 1, session_id, i)), 1, 7)) AS BIGINT) % (n - 1) AS bin FROM (SELECT session_id, CAST(ceil((t1 - t0) / 3600000000) AS BIGINT) AS n, np FROM bd JOIN (SELECT session_id, count(*) AS np FROM pe GROUP BY 1) USING (session_id)), range(1, 100000) t(i) WHERE i <= np AND n > 1))"
+SEEDS = 5
+_B0 = _BDS.replace("bd AS", "b0 AS", 1)
+_EDGES0 = _EDGES.replace("JOIN bd", "JOIN b0")
+#: Sessions of each seed (or setting) are told apart by a last digit.
+_CHANCE = f"""{_B0}, ge AS ({_EDGES0.format('units')}), pe AS ({_EDGES0.format('pred')}),
+sd AS (SELECT * FROM (SELECT b0.session_id, CAST(ceil((t1 - t0) / {HOUR}) AS BIGINT) AS n, count(*) AS np FROM b0 JOIN pe USING (session_id) GROUP BY ALL), range(1, {SEEDS + 1}) t(seed)),
+dr AS (SELECT session_id, seed, i, CAST(concat('0x', substr(md5(concat_ws('-', seed, session_id, i)), 1, 7)) AS BIGINT) % (n - np) AS u FROM sd, range(1, 100000) q(i) WHERE i <= np),
+rb AS (SELECT session_id * 10 + seed AS session_id, u + row_number() OVER (PARTITION BY session_id, seed ORDER BY u, i) AS bin FROM dr),
+bd AS (SELECT session_id * 10 + seed AS session_id FROM b0, range(1, {SEEDS + 1}) t(seed))"""
 
 
-@query(f"WITH RECURSIVE {_units_sql()}, {_GROUPS}, {_BDS}, pe AS ({_EDGES.format('pred')}), {_DRAWN}, {_match_sql(_EDGES.format('units'), 'SELECT * FROM rb')}, t AS (SELECT tol, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_pred) AS BIGINT) AS n_pred FROM sc GROUP BY 1) SELECT *, {_PRF} FROM t")
+@query(f"""WITH RECURSIVE {_units_sql()}, {_GROUPS}, {_CHANCE}, {_match_sql(f'SELECT session_id * 10 + seed AS session_id, bin FROM ge, range(1, {SEEDS + 1}) t(seed)', 'SELECT * FROM rb')},
+t AS (SELECT session_id % 10 AS seed, tol, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_pred) AS BIGINT) AS n_pred FROM sc GROUP BY 1, 2), f AS (SELECT *, {_PRF} FROM t)
+SELECT *, round(avg(f1) OVER (PARTITION BY tol), 6) AS mean_f1, round(max(f1) OVER (PARTITION BY tol) - min(f1) OVER (PARTITION BY tol), 6) AS spread FROM f""")
 def chance_segmenter(spark, sf_dir):
-    """Boundaries drawn by a hash, as many in a session as the prediction has: what chance scores."""
-    bounds = _bounds(spark, sf_dir)
-    gold = _edges(_units(spark, sf_dir), bounds).withColumnRenamed("bins", "g")
-    n = F.ceil((F.col("t1") - F.col("t0")) / HOUR)
-    drawn = _edges(_pred(spark, sf_dir), bounds).join(bounds, "session_id").where(n > 1)
-    number = lambda i: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("1"), F.col("session_id").cast("string"), i.cast("string")).cast("binary")), 1, 7), 16, 10).cast("bigint")
-    bins = F.transform(F.sequence(F.lit(1), F.size("bins")), lambda i: 1 + number(i) % (n - 1))
-    drawn = drawn.select("session_id", F.sort_array(F.array_distinct(bins)).alias("p"))
-    t = S.boundary_scores(gold, drawn, bounds, "session_id", (2, 5, 10)).groupBy("tol").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")])
-    return t.withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
+    """Boundaries drawn by a hash, exactly as many in a session as the prediction has: what chance scores, a row a seed
+    and tolerance, with the mean and the range of F1 over the seeds."""
+    bounds, large = _bounds(spark, sf_dir), large_sessions(spark, sf_dir)
+    seeds = F.explode(F.sequence(F.lit(1), F.lit(SEEDS))).alias("seed")
+    gold = _edge_rows(_units(spark, sf_dir), bounds).select("session_id", "bin", seeds)
+    counts = _edge_rows(_pred(spark, sf_dir), bounds).groupBy("session_id").agg(F.count("*").alias("np"))
+    drawn = S.drawn_bins(counts.join(bounds.select("session_id", F.ceil((F.col("t1") - F.col("t0")) / HOUR).alias("n")), "session_id"), "session_id", SEEDS, large)
+    keys = bounds.select("session_id", seeds)
+    sc = S.matched_boundaries(gold, drawn, keys, ["session_id", "seed"], (2, 5, 10), large=large)
+    t = sc.groupBy(F.col("seed").cast("bigint").alias("seed"), "tol").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")])
+    t = t.withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
+    w = Window.partitionBy("tol")  # a row a seed
+    return t.withColumns({"mean_f1": F.round(F.avg("f1").over(w), 6), "spread": F.round(F.max("f1").over(w) - F.min("f1").over(w), 6)})
 
 
 _PLACED = """gp AS (SELECT p.session_id, start_ts, end_ts - start_ts AS d, start_ts - coalesce(lag(end_ts) OVER w, t0) AS gap, t0, row_number() OVER w AS i, row_number() OVER (PARTITION BY p.session_id ORDER BY md5(concat_ws('-', p.session_id, start_ts)), start_ts) AS r FROM pred p JOIN bd USING (session_id) WINDOW w AS (PARTITION BY p.session_id ORDER BY start_ts, end_ts)),
@@ -64,8 +78,8 @@ def chance_placement(spark, sf_dir):
     p = p.select("session_id", "t0", "gap", "i").join(p.select("session_id", F.col("r").alias("i"), "d"), ["session_id", "i"])
     start = F.col("t0") + F.sum("gap").over(order) + F.sum("d").over(order) - F.col("d")
     placed = p.select("session_id", start.alias("start_ts"), (start + F.col("d")).alias("end_ts"))
-    gold = _edges(_units(spark, sf_dir), bounds).withColumnRenamed("bins", "g")
-    t = S.boundary_scores(gold, _edges(placed, bounds).withColumnRenamed("bins", "p"), bounds, "session_id", (2, 5, 10)).groupBy("tol").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")])
+    sc = S.matched_boundaries(_edge_rows(_units(spark, sf_dir), bounds), _edge_rows(placed, bounds), bounds, ["session_id"], (2, 5, 10), large=large_sessions(spark, sf_dir))
+    t = sc.groupBy("tol").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")])
     return t.withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
 
 
@@ -168,6 +182,50 @@ def held_out_tolerances(spark, sf_dir):
     return S.grouped_agreement(rows, ["hours"], "a", "b")
 
 
+#: Settings of the ablation: number, name, reach in hours, whether openings count, most hours of widening.
+_SETTINGS = [(1, "shipped", 48, True, 12), (2, "no openings", 48, False, 12), (3, "short reach", 12, True, 12), (4, "no widening", 48, True, 0), (5, "wide", 48, True, 24)]
+_ABLATED = f"""cf AS (SELECT * FROM (VALUES {', '.join(f"({no}, '{name}', {reach}, {str(opens).lower()}, {cap})" for no, name, reach, opens, cap in _SETTINGS)}) t(no, setting, reach, opens, cap)),
+aw AS (SELECT *, max(CASE WHEN event_type = 'view' THEN t END) OVER (PARTITION BY session_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, min(t) OVER (PARTITION BY session_id) AS t0,
+  {', '.join(f"min(t) OVER (PARTITION BY session_id ORDER BY t RANGE BETWEEN {r * HOUR} PRECEDING AND CURRENT ROW) AS f{r}" for r in sorted({s[2] for s in _SETTINGS}))} FROM a),
+ad AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY session_id ORDER BY t), t0) AS prev FROM aw WHERE event_type = 'purchase'),
+ax AS (SELECT session_id, no, cap, t, lo, prev, coalesce(opens AND lo >= greatest(prev, t - reach * CAST({HOUR} AS BIGINT)), false) AS has_open, CASE reach {' '.join(f"WHEN {r} THEN f{r}" for r in sorted({s[2] for s in _SETTINGS}))} END AS f FROM ad, cf),
+au AS (SELECT * FROM (SELECT session_id, no, cap, CASE WHEN has_open THEN lo ELSE greatest(prev, f) END AS s, t AS e FROM ax) WHERE e - s >= {MIN_UNIT}),
+ae AS (SELECT u.session_id, no, s, e, greatest(0, least(floor((s - coalesce(lag(e) OVER w, t0)) / 2), cap * CAST({HOUR} AS BIGINT))) AS bk, greatest(0, least(floor((coalesce(lead(s) OVER w, t1) - e) / 2), cap * CAST({HOUR} AS BIGINT))) AS fw
+  FROM au u JOIN b0 USING (session_id) WINDOW w AS (PARTITION BY no, u.session_id ORDER BY s, e)),
+wu AS (SELECT session_id, no, CAST(s - bk AS BIGINT) AS start_ts, CAST(e + fw AS BIGINT) AS end_ts FROM ae),
+we AS (SELECT DISTINCT session_id * 10 + no AS session_id, bin FROM (SELECT session_id, no, unnest([floor((start_ts - t0) / {HOUR}), ceil((end_ts - t0) / {HOUR})]) AS bin, ceil((t1 - t0) / {HOUR}) AS n FROM wu JOIN b0 USING (session_id)) WHERE bin > 0 AND bin < n),
+bd AS (SELECT session_id * 10 + no AS session_id FROM b0, cf),
+iv AS (SELECT wu.no, gg.session_id, gg.event_id, gg.no AS grp, min((wu.start_ts, wu.end_ts)) AS u FROM gg JOIN wu ON wu.session_id = gg.session_id AND gg.t BETWEEN wu.start_ts AND wu.end_ts GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_A}, {_GROUPS}, {_B0}, {_ABLATED}, pe AS ({_EDGES0.format('pred')}), {_match_sql('SELECT session_id * 10 + no AS session_id, bin FROM pe, cf', 'SELECT * FROM we', (5,))},
+t AS (SELECT session_id % 10 AS no, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_gold) AS BIGINT) AS n_gold, CAST(sum(n_pred) AS BIGINT) AS n_pred FROM sc GROUP BY 1), {_agreement_sql('no', "SELECT no, concat_ws('-', session_id, grp) AS a, concat_ws('-', session_id, u[1]) AS b FROM iv")}
+SELECT setting, tp, n_gold, n_pred, {_PRF}, n AS events, clusters, v_measure, adjusted_rand FROM t JOIN cf USING (no) JOIN ag USING (no)""")
+def ablations(spark, sf_dir):
+    """Settings of the recovery against its scores: widened units against the gap sessions, by boundaries (within 5 bins)
+    and by the agreement of the events' units with their sessions; all settings go through each step together."""
+    a, bounds, large = activity(spark, sf_dir), _bounds(spark, sf_dir), large_sessions(spark, sf_dir)
+    kind = F.col("event_type")
+    settings = [{"name": name, "reach": reach * HOUR, "opens": opens, "cap": cap * HOUR} for _, name, reach, opens, cap in _SETTINGS]
+    units = B.bracket_settings(a, "session_id", "t", kind == "view", kind == "purchase", settings, MIN_UNIT)
+    run = F.struct("setting", "cap", "session_id").alias("run")
+    names = F.explode(F.array(*[F.struct(F.lit(s["name"]).alias("setting"), F.lit(s["cap"]).cast("bigint").alias("cap")) for s in settings])).alias("x")
+    every = bounds.select("*", names).select("*", "x.*")
+    wide = B.expand(units.select(run, "start_ts", "end_ts"), every.select(run, "t0", "t1"), "run", F.col("run.cap"), large=None if large is None else "count")
+    wide = keep(wide.select("run.setting", "run.session_id", F.col("wide_start").alias("start_ts"), F.col("wide_end").alias("end_ts")), "ablations")
+    bins = F.array(F.floor((F.col("start_ts") - F.col("t0")) / HOUR), F.ceil((F.col("end_ts") - F.col("t0")) / HOUR))
+    e = wide.join(bounds, "session_id").select("setting", "session_id", F.explode(bins).alias("bin"), F.ceil((F.col("t1") - F.col("t0")) / HOUR).alias("n"))
+    e = e.where("bin > 0 and bin < n").select("setting", "session_id", "bin")
+    gold = _edge_rows(_pred(spark, sf_dir), bounds).select("session_id", "bin", names).select("x.setting", "session_id", "bin")
+    sc = S.matched_boundaries(gold, e, every, ["setting", "session_id"], (5,), large=large)
+    t = sc.groupBy("setting").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")]).withColumns(S.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
+    groups = Q.gap_sessions(a.where("event_type <> 'error'"), ["session_id"], "t", GAP, ["event_id"])
+    inside = I.containment(wide, groups.select("session_id", "t", "event_id", "group_no"), "session_id", "t", how="inner")
+    first = inside.groupBy("setting", "session_id", "event_id", "group_no").agg(F.min(F.struct("start_ts", "end_ts")).alias("u"))
+    rows = first.select("setting", F.concat_ws("-", "session_id", "group_no").alias("a"), F.concat_ws("-", "session_id", "u.start_ts").alias("b"))
+    return t.join(S.grouped_agreement(rows, ["setting"], "a", "b").withColumnRenamed("n", "events"), "setting")
+
+
 _SIGNATURES = {"status": ["o_orderstatus"], "priority": ["o_orderpriority"], "year": ["y"], "status+year": ["o_orderstatus", "y"], "priority+year": ["o_orderpriority", "y"], "all": ["o_orderstatus", "o_orderpriority", "y"]}
 _SIG = " UNION ALL ".join("SELECT '{}' AS signature, a, concat_ws('|', {}) AS b FROM o".format(k, ", ".join(v)) for k, v in _SIGNATURES.items())
 
