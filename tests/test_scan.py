@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracework import catalogue as K
+from tracework.functions import regulations as J
 from tracework.operators import brackets as B
 from tracework.operators import grid as G
 from tracework.operators import labels as L
@@ -14,6 +15,7 @@ from tracework.operators import scoring as S
 from tracework.operators import sequence as Q
 from tracework.operators import suppress as X
 from tracework.sources.event_log import activity
+from tracework.streaming import confirmations as C
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,3 +143,33 @@ def test_ten_thousand_fragments(spark):
     assert {(r.text, r.fragment) for r in got.collect()} == want
     plan = L.first_matches(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([("",)], "fragment string"))
     assert [tuple(r) for r in plan.collect()] == [("a", "")]
+
+
+def test_a_cell_is_no_template(spark):
+    row = F.create_map(F.lit("ID"), F.lit("{kind}"), F.lit("kind"), F.lit("x"), F.lit("a"), F.lit(None).cast("string"))
+    t = lambda s: spark.createDataFrame([(s,)], "t string").select(J.filled_template(F.col("t"), row, F.lit("?"))).first()[0]
+    assert t("{ID} needs {kind}") == "{kind} needs x"
+    assert [t(s) for s in ("{a}{a}", "x {", "{ {kind}", "{no}", "{}", "", "} {kind}} y")] == ["", "x {", "{ x", "?", "?", "", "} x} y"]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    rows = [(i % 7, i, i, f"n{i}") for i in range(40)]
+    spark.createDataFrame(rows, "row_id bigint, t bigint, event_id bigint, note string").repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("row_id bigint, t bigint, event_id bigint, note string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    assert C.confirmations(stream, out, str(tmp_path / "c")).awaitTermination(120)
+    read = lambda: sorted(map(tuple, spark.read.parquet(out).collect()))
+    before = read()
+    assert len(before) == 40 and {r.row_id: r.note for r in C.confirmed(spark, out).collect()} == {i % 7: f"n{i}" for i in range(33, 40)}
+    again = spark.createDataFrame([r for r in before if r[4] == 1], "row_id bigint, t bigint, event_id bigint, note string, batch bigint").drop("batch")
+    C.write_batch(again, 1, out)
+    assert read() == before
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_chance_draws_as_many_distinct_boundaries(spark, cut):
+    sizes = spark.createDataFrame([("a", 50, 49), ("b", 1000, 3), ("c", 9, 1), ("d", 5000, 2500)], "k string, n bigint, np bigint")
+    d = S.drawn_bins(sizes, "k", 3, sizes.select("k") if cut else None)
+    got = d.groupBy("k", "seed").agg(F.count_distinct("bin").alias("m"), F.count("*").alias("n"), F.min("bin").alias("lo"), F.max("bin").alias("hi")).collect()
+    want = {r.k: (r.n, r.np) for r in sizes.collect()}
+    assert len(got) == 12 and all(r.m == r.n == want[r.k][1] and 0 < r.lo and r.hi < want[r.k][0] for r in got)

@@ -133,7 +133,15 @@ def corpus(texts: DataFrame, text: str) -> DataFrame:
 
 
 def filled_template(template: Column, row: Column, fallback: Column) -> Column:
-    """``template`` with each ``{column}`` replaced from the map ``row`` (null cells are empty); ``fallback`` if a column is unknown."""
-    out = F.aggregate(F.map_entries(row), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
-    known = F.aggregate(F.map_keys(row), template, lambda t, k: F.replace(t, F.concat(F.lit("{"), k, F.lit("}")), F.lit("")))
-    return F.when(known.rlike(r"\{[^{}]*\}"), fallback).otherwise(out)
+    """``template`` with each ``{column}`` replaced from the map ``row`` (null cells are empty); ``fallback`` if a column is unknown.
+
+    One scan over the template's parts: what a cell holds isn't read as a template again.
+    """
+    parts = F.split(template, r"\{")
+    name = lambda p: F.substring_index(p, "}", 1)
+    closed = lambda p: F.contains(p, F.lit("}"))
+    rest = lambda p: F.substr(p, F.length(name(p)) + 2)
+    fill = lambda p: F.when(closed(p), F.concat(F.coalesce(F.element_at(row, name(p)), F.lit("")), rest(p))).otherwise(F.concat(F.lit("{"), p))
+    later = F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts)))
+    unknown = F.exists(later, lambda p: closed(p) & ~F.map_contains_key(row, name(p)))
+    return F.when(unknown, fallback).otherwise(F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(later, fill), "")))

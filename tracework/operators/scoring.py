@@ -133,12 +133,12 @@ def agreement(table: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def grouped_agreement(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """``by, n, clusters, v_measure, adjusted_rand`` of the labels ``a`` against ``b`` in each group.
+def grouped_agreement(df: DataFrame, by: list[str], a: str, b: str, weight: str | None = None) -> DataFrame:
+    """``by, n, clusters, v_measure, adjusted_rand`` of the labels ``a`` against ``b`` in each group, of rows or of counts.
 
     Counts of pairs come first; a group's sums then run over its distinct pairs, not over its rows.
     """
-    c = df.groupBy(*by, a, b).agg(F.count("*").alias("n"))
+    c = df.groupBy(*by, a, b).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     wa, wb, every = Window.partitionBy(*by, a), Window.partitionBy(*by, b), Window.partitionBy(*by)
     c = c.withColumns({"na": F.sum("n").over(wa), "nb": F.sum("n").over(wb), "t": F.sum("n").over(every)})
     n, t = F.col("n"), F.col("t")

@@ -226,17 +226,29 @@ def ablations(spark, sf_dir):
     return t.join(S.grouped_agreement(rows, ["setting"], "a", "b").withColumnRenamed("n", "events"), "setting")
 
 
-_SIGNATURES = {"status": ["o_orderstatus"], "priority": ["o_orderpriority"], "year": ["y"], "status+year": ["o_orderstatus", "y"], "priority+year": ["o_orderpriority", "y"], "all": ["o_orderstatus", "o_orderpriority", "y"]}
-_SIG = " UNION ALL ".join("SELECT '{}' AS signature, a, concat_ws('|', {}) AS b FROM o".format(k, ", ".join(v)) for k, v in _SIGNATURES.items())
+_PARTS = {"status": "o_orderstatus", "priority": "o_orderpriority", "year": "y", "quarter": "q", "nation": "nation"}
+_SUBSETS = [[p for i, p in enumerate(_PARTS) if bits >> i & 1] for bits in range(1, 1 << len(_PARTS))]
+_SIG = " UNION ALL ".join("SELECT '{}' AS signature, a, concat_ws('|', {}) AS b FROM o".format("+".join(s), ", ".join(_PARTS[p] for p in s)) for s in _SUBSETS)
 
 
-@query(f"WITH o AS (SELECT c_mktsegment AS a, o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders JOIN customer ON c_custkey = o_custkey), {_agreement_sql('signature', _SIG)} SELECT * FROM ag")
+@query(f"""WITH o AS (SELECT c_mktsegment AS a, o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(quarter(o_orderdate) AS VARCHAR) AS q, CAST(c_nationkey AS VARCHAR) AS nation FROM orders JOIN customer ON c_custkey = o_custkey),
+{_agreement_sql('signature', _SIG)} SELECT *, row_number() OVER (ORDER BY v_measure DESC, clusters, signature) AS place FROM ag""")
 def signature_search(spark, sf_dir):
-    """How well each combination of columns names a class: one pass, a row per combination."""
+    """How well each subset of five columns names a class, best first (the smaller on a tie).
+
+    Rows are counted once, by all columns; the subsets are grouping sets of these counts."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.select(F.col("c_mktsegment").alias("a"), "o_orderstatus", "o_orderpriority", F.year("o_orderdate").cast("string").alias("y"))
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("signature"), F.concat_ws("|", *v).alias("b")) for k, v in _SIGNATURES.items()])).alias("x")
-    return S.grouped_agreement(o.select("a", rows).select("a", "x.*"), ["signature"], "a", "b")
+    o = o.select(
+        F.col("c_mktsegment").alias("a"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").cast("string").alias("year"),
+        F.quarter("o_orderdate").cast("string").alias("quarter"), F.col("c_nationkey").cast("string").alias("nation"),
+    )
+    parts = list(_PARTS)
+    finest = o.groupBy("a", *parts).agg(F.count("*").alias("m"))
+    named = F.concat_ws("+", *[F.when(F.grouping(p) == 0, F.lit(p)) for p in parts])
+    sets = finest.groupingSets([["a", *s] for s in _SUBSETS], "a", *parts).agg(F.sum("m").alias("m"), named.alias("signature"))
+    rows = sets.select("signature", "a", F.concat_ws("|", *parts).alias("b"), "m")
+    order = Window.orderBy(F.desc("v_measure"), "clusters", "signature")  # a row a subset
+    return S.grouped_agreement(rows, ["signature"], "a", "b", "m").withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
 _COMBOS = [(m, n) for m in (12, 24, 48) for n in (1, 60)]

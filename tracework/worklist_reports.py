@@ -15,6 +15,7 @@ from .operators import audits as U
 from .operators import learn as M
 from .operators.grid import asof
 from .operators.rules import majority
+from .streaming.confirmations import last_notes
 from .sources.event_log import activity, table
 
 #: Definitions of a worklist by kind of row: kind, mode, template of the note.
@@ -127,10 +128,13 @@ def captured_tables(spark, sf_dir):
 
 @query(f"""WITH {_A} SELECT event_id, CASE WHEN k % 4 = 0 THEN NULL ELSE k % 4 = 1 END AS same FROM a WHERE event_type = 'error'""")
 def drafted_agreement(spark, sf_dir):
-    """Whether rules drafted as JSON are those of the regulation; null where the reply is no list of rules."""
-    text = F.lit("5万円未満：部門長承認\n5万円以上：役員承認")
-    good = '[{"yen": 50000, "cmp": "以上", "outcome": "役員承認"}, {"yen": 50000, "cmp": "未満", "outcome": "部門長承認"}]'
-    reply = F.when(F.col("k") % 4 == 0, "no rules").when(F.col("k") % 4 == 1, f"```json\n{good}\n```").otherwise("[]")
+    """Whether rules drafted as JSON are those of the captured regulation, cleaned; null where the reply is no list of rules."""
+    # a capture: the regulation between a record that isn't part of it and what follows its end
+    text = F.expr("concat('R', k % 5, '規程\r承認記録 9万円以上：別承認\r', k % 9 + 1, '万円未満：部門長承認\n', k % 9 + 1, '万円以上：役員承認\n附則 施行。\r外\n7万円以上：外承認')")
+    draft = lambda yen: F.expr(f"""concat('[{{"yen": ', {yen}, ', "cmp": "以上", "outcome": "役員承認"}}, {{"yen": ', {yen}, ', "cmp": "未満", "outcome": "部門長承認"}}]')""")
+    right, wrong = draft("(k % 9 + 1) * 10000"), draft("(k % 9 + 2) * 10000")
+    turn = F.col("k") % 4
+    reply = F.when(turn == 0, "no rules").when(turn == 1, F.concat(F.lit("```json\n"), right, F.lit("\n```"))).when(turn == 2, wrong).otherwise("[]")
     e = activity(spark, sf_dir).where("event_type = 'error'")
     return e.select("event_id", J.same_rules(J.drafted_rules(reply), J.threshold_rules(J.sanitised(text, ["承認記録"]))).alias("same"))
 
@@ -192,13 +196,12 @@ def automation_by_judgment(spark, sf_dir):
 @query(f"""WITH {_A}, u AS (SELECT k AS row_id, max_by('note ' || event_id, (t, event_id)) AS note FROM a WHERE event_type = 'purchase' GROUP BY 1)
 SELECT o_orderkey, CASE WHEN note IS NOT NULL THEN 'F' ELSE o_orderstatus END AS status, note FROM orders LEFT JOIN u ON row_id = o_orderkey""")
 def confirm_updates(spark, sf_dir):
-    """A worklist after confirmations: the last one of each row sets it done with its note; applying them again changes nothing."""
+    """A worklist after confirmations: the last one of each row sets it done with its note (``streaming.confirmations``
+    takes them as a stream whose replay changes nothing)."""
     note = F.concat(F.lit("note "), F.col("event_id").cast("string"))
-    u = activity(spark, sf_dir).where("event_type = 'purchase'").groupBy(F.col("k").cast("bigint").alias("row_id")).agg(F.max_by(note, F.struct("t", "event_id")).alias("note"))
+    u = last_notes(activity(spark, sf_dir).where("event_type = 'purchase'").select(F.col("k").cast("bigint").alias("row_id"), "t", "event_id", note.alias("note")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    for _ in range(2):
-        rows = rows.drop("note").join(u, F.col("o_orderkey") == F.col("row_id"), "left").select("o_orderkey", F.when(F.col("note").isNotNull(), "F").otherwise(F.col("status")).alias("status"), "note")
-    return rows
+    return rows.join(u, F.col("o_orderkey") == F.col("row_id"), "left").select("o_orderkey", F.when(F.col("note").isNotNull(), "F").otherwise(F.col("status")).alias("status"), "note")
 
 
 @query("""SELECT o_orderpriority AS screen, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P",
