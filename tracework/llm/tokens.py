@@ -62,6 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # the strings of added tokens in a text are these tokens, as the library has it by default
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.sign = os.path.commonprefix(self.added)
         self.kind = kind
         self.units: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before
@@ -84,8 +85,8 @@ class Encoder:
         cut = pc.replace_substring(texts, " ", f"{mark} ")
         if self.kind == "byte":  # such texts are one unit each
             cut = pc.if_else(pc.match_substring_regex(texts, _AMID), texts, cut)
-        for added in self.added:  # and so are those with the string of an added token, whatever stands around it
-            cut = pc.if_else(pc.match_substring(texts, added), texts, cut)
+        if self.added and pc.any(hit := pc.match_substring(texts, self.sign)).as_py():  # and so are those that may hold an added token
+            cut = pc.if_else(hit, texts, cut)
         units = pc.split_pattern(cut, mark)
         named = units.flatten().dictionary_encode()
         ids = self._known(named.dictionary.to_pylist())
@@ -121,7 +122,7 @@ class Encoder:
             self.parts.clear()
         for unit in units:
             low = unit.lower()
-            if _PLAIN(unit) and _PLAIN(low) and not any(x in unit for x in self.added):
+            if _PLAIN(unit) and _PLAIN(low) and not (self.added and self.sign in unit):
                 yield b"".join(map(self._part, _PIECES(low)))
             else:
                 yield self._library([unit])[0]
