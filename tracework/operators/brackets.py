@@ -9,6 +9,13 @@ from ..sources.event_log import keep
 from .intervals import BUCKET
 from .scan import SLOT, nearby, running, slotted
 
+
+def _reaching(df: DataFrame, key: str, ts: str, opens: Column, closes: Column, behind: int) -> DataFrame:
+    """Times, openings and closes within ranges; a log of ``sources.layout`` has its ranges and isn't shuffled again."""
+    d = df.select(key, ts, F.when(opens, F.col(ts)).alias("_open"), closes.alias("_close"), *[c for c in (SLOT, "_own") if SLOT in df.columns])
+    return d if SLOT in df.columns else nearby(d, [key], ts, behind)
+
+
 def bracket_pairs(
     df: DataFrame, key: str, ts: str, opens: Column, closes: Column, max_unit: int, min_unit: int, use_opens: bool = True
 ) -> DataFrame:
@@ -20,9 +27,8 @@ def bracket_pairs(
 
     Nothing older than ``max_unit`` can matter to a close, so windows run within time ranges that see that far back.
     """
-    d = df.select(key, ts, F.when(opens, F.col(ts)).alias("_open"), closes.alias("_close"))
     order = Window.partitionBy(SLOT).orderBy(ts)
-    rows = nearby(d, [key], ts, max_unit).withColumns({
+    rows = _reaching(df, key, ts, opens, closes, max_unit).withColumns({
         "_last_open": F.max("_open").over(order.rangeBetween(Window.unboundedPreceding, -1)),
         "_first": F.min(ts).over(order.rangeBetween(-max_unit, 0)),
     })
@@ -41,9 +47,8 @@ def bracket_settings(df: DataFrame, key: str, ts: str, opens: Column, closes: Co
     event of a reach once a reach, and settings part at the closing events only.
     """
     reaches = sorted({s["reach"] for s in settings})
-    d = df.select(key, ts, F.when(opens, F.col(ts)).alias("_open"), closes.alias("_close"))
     order = Window.partitionBy(SLOT).orderBy(ts)
-    rows = nearby(d, [key], ts, max(reaches)).withColumns(
+    rows = _reaching(df, key, ts, opens, closes, max(reaches)).withColumns(
         {"_last_open": F.max("_open").over(order.rangeBetween(Window.unboundedPreceding, -1))} | {f"_f{i}": F.min(ts).over(order.rangeBetween(-r, 0)) for i, r in enumerate(reaches)}
     )
     done = rows.where("_close").withColumn("_prev", F.lag(ts).over(order)).where("_own")

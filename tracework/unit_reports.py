@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalogue import _SQL, _WIDE, CAP, HOUR, MIN_UNIT, SNAP, _A, _units, _units_sql, large_sessions, query
+from .catalogue import _SQL, _WIDE, CAP, HOUR, MAX_UNIT, MIN_UNIT, SNAP, _A, _units, _units_sql, large_sessions, query
 from .functions.text import element_prefix
 from .operators import brackets as B
 from .operators import grid as G
 from .operators import intervals as I
 from .operators import learn as L
 from .reports import _BD, _bounds, _targets
-from .sources.event_log import activity, table
+from .sources.event_log import activity, scratch, table
+from .sources.layout import laid_out, lay_out
 
 #: The steps of the grid units from ``bd`` on, for other bounds.
 _CELLS = _SQL["grid_units"].split(_BD + ", ", 1)[1].rsplit("SELECT session_id, start_ts", 1)[0]
@@ -129,3 +132,15 @@ def unit_clusters(spark, sf_dir):
     token = F.concat_ws("_", "event_type", F.col("k").cast("string"))
     bags = inside.groupBy("session_id", "start_ts", "end_ts").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
     return L.token_clusters(bags, "tokens", 8).select("session_id", "start_ts", "end_ts", "cluster")
+
+
+@query(f"""WITH {_units_sql()} SELECT 'with openings' AS setting, session_id, start_ts, end_ts, has_open FROM units
+UNION ALL SELECT 'without', * FROM (WITH {_units_sql(False)} SELECT * FROM units)""")
+def stored_brackets(spark, sf_dir):
+    """Units in two settings off one log that is laid out first: neither setting shuffles it again."""
+    path = scratch(spark, "layout")
+    name, kind = os.path.basename(path).replace("-", "_"), F.col("event_type")
+    lay_out(activity(spark, sf_dir), name, ["session_id"], "t", MAX_UNIT, 16, path)
+    a = laid_out(spark, name, ["session_id"], "t", MAX_UNIT)
+    units = [B.bracket_pairs(a, "session_id", "t", kind == "view", kind == "purchase", MAX_UNIT, MIN_UNIT, opens) for opens in (True, False)]
+    return units[0].select(F.lit("with openings").alias("setting"), "*").unionByName(units[1].select(F.lit("without").alias("setting"), "*"))
