@@ -13,6 +13,7 @@ from .operators import brackets as B
 from .operators import grid as G
 from .operators import intervals as I
 from .operators import learn as L
+from .operators.linkage import linked_clusters
 from .reports import _BD, _bounds, _targets
 from .sources.event_log import activity, scratch, table
 from .sources.layout import laid_out, lay_out
@@ -125,13 +126,24 @@ def element_prefixes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", element_prefix(e).alias("prefix"))
 
 
+def _bags(spark, sf_dir):
+    """Units with the kinds and numbers of their events as tokens."""
+    inside = I.containment(_units(spark, sf_dir), activity(spark, sf_dir), "session_id", "t")
+    token = F.concat_ws("_", "event_type", F.col("k").cast("string"))
+    return inside.groupBy("session_id", "start_ts", "end_ts").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+
+
 @query()
 def unit_clusters(spark, sf_dir):
     """Units in eight clusters by the kinds and numbers of their events."""
-    inside = I.containment(_units(spark, sf_dir), activity(spark, sf_dir), "session_id", "t")
-    token = F.concat_ws("_", "event_type", F.col("k").cast("string"))
-    bags = inside.groupBy("session_id", "start_ts", "end_ts").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
-    return L.token_clusters(bags, "tokens", 8).select("session_id", "start_ts", "end_ts", "cluster")
+    return L.token_clusters(_bags(spark, sf_dir), "tokens", 8).select("session_id", "start_ts", "end_ts", "cluster")
+
+
+@query()
+def unit_linkage(spark, sf_dir):
+    """Units in eight clusters by single linkage, those below a similarity of 0.3 apart; named by their first unit."""
+    bags = _bags(spark, sf_dir).withColumn("unit", F.concat_ws(":", "session_id", "start_ts", "end_ts"))
+    return linked_clusters(bags, "unit", "tokens", 8, 0.3).select("session_id", "start_ts", "end_ts", "cluster")
 
 
 @query(f"""WITH {_units_sql()} SELECT 'with openings' AS setting, session_id, start_ts, end_ts, has_open FROM units
