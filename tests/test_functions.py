@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tracework import catalogue
 from tracework.functions import regulations as J
 from tracework.operators import grid as G
 from tracework.operators import learn as L
@@ -101,3 +102,22 @@ def test_clusters_and_tagger(spark):
     d = spark.createDataFrame([(float(i), 1.0, "low" if i < 20 else "mid" if i < 40 else "high") for i in range(60)], "x double, y double, c string")
     out = L.tagger(d, "c", ["x", "y"]).transform(d)
     assert out.where("_label = prediction").count() >= 57
+
+
+def test_boosted_scores_of_held_out_rows(spark):
+    rows = [(i, float(i % 30), None if i % 7 == 0 else 1.0, 1 if i % 30 < 8 else 2 if i % 30 >= 22 else 0) for i in range(300)]
+    d = spark.createDataFrame(rows, "i int, x double, y double, c int")
+    out = L.boosted_scores(d.where("i % 2 = 0"), d.where("i % 2 = 1"), "c", [1, 2, 3], ["x", "y"], rounds=5)
+    assert out.columns == ["i", "x", "y", "c", "score_1", "score_2", "score_3"]
+    got = out.collect()
+    assert all((r.score_1 > 0.5) == (r.c == 1) and (r.score_2 > 0.5) == (r.c == 2) and r.score_3 == 0 for r in got if r.i % 30 not in (7, 8, 21, 22))
+    one = d.where("c = 1")
+    assert {r.score_1 for r in L.boosted_scores(one, d, "c", [1], ["x"]).collect()} == {1.0}
+    assert {r.score_1 for r in L.boosted_scores(d.where("false"), d, "c", [1], ["x"]).collect()} == {0.0}
+
+
+def test_learned_brackets_beat_gap_sessions(spark):
+    got = {(r.arm, r.half, r.tol): r for r in catalogue.queries()["learned_brackets"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 12
+    for half in (0, 1):
+        assert got["learned", half, 5].f1 > got["gaps", half, 5].f1 and got["learned", half, 5].n_pred > 0

@@ -154,5 +154,5 @@ def test_anchors_keep_the_text_before_the_click(spark):
 
 
 def test_every_query_of_the_catalogue_has_rows(spark):
-    assert len(K.queries()) >= 140 and set(K.queries()) - set(K.oracle_sql()) <= {"non_max_suppression", "unit_clusters", "unit_linkage", "permutation_test", "event_tags"}
+    assert len(K.queries()) >= 140 and set(K.queries()) - set(K.oracle_sql()) <= {"non_max_suppression", "unit_clusters", "unit_linkage", "learned_brackets", "permutation_test", "event_tags"}
     assert list(itertools.islice(K.oracle_sql(), 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalogue import _GROUPS, _WIDE, CAP, HOUR, MIN_UNIT, _A, _pred, _units, _units_sql, large_sessions, query
+from .catalogue import _GROUPS, _WIDE, CAP, HOUR, MAX_UNIT, MIN_UNIT, _A, _edge_rows, _pred, _units, _units_sql, large_sessions, query
 from . import desk
 from .desk import LOG_SQL, log
 from .functions.text import case_ids
@@ -13,9 +13,12 @@ from .log_reports import _ANCHORS, _DOCS, _L, _LABELS, _LU, _MS, _STATES, _SYSTE
 from .operators import audits as U
 from .operators import brackets as B
 from .operators import intervals as I
+from .operators import learn as M
+from .operators import scoring as P
 from .operators.grid import asof
+from .operators.suppress import non_max
 from .sources import event_log as S
-from .sources.event_log import activity, table
+from .sources.event_log import activity, keep, table
 from .unit_reports import bracket_tail
 
 SECOND = 1_000_000
@@ -384,3 +387,39 @@ def family_profile(spark, sf_dir):
     u = u.withColumn("spent", F.col("end_ts") - F.col("start_ts"))
     q = U.linear_quantiles(u, "family", "spent", {"median": 0.5, "p90": 0.9})
     return u.groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("label").alias("variants")).join(q, "family").join(top, "family", "left")
+
+
+#: Least score of an edge, and time between two edges of a kind.
+LEAST, APART = 0.3, HOUR
+
+
+def _tagged(spark, sf_dir):
+    """Events with their features, and the edge that each labels (0: none)."""
+    f = event_features(spark, sf_dir).drop("session_id").withColumn("event_id", F.substring("event_id", 2, 20).cast("bigint"))
+    d = activity(spark, sf_dir).select("session_id", "t", "event_id").join(f, "event_id")
+    labels = edge_labels(spark, sf_dir)
+    return d.join(labels, ["session_id", "t"], "left").withColumn("cls", F.coalesce("cls", F.lit(0)))
+
+
+@query()
+def learned_brackets(spark, sf_dir):
+    """Units between learned edges, against gap sessions as a plain baseline: boundary scores of each half of the sessions,
+    whose model comes from the other half.  Edges are scored by boosted trees, thinned by suppression and paired.  A
+    model has no SQL; tests check its parts and that it beats the baseline."""
+    d = keep(_tagged(spark, sf_dir), "tagged")
+    columns = [c for c in d.columns if c not in ("session_id", "t", "event_id", "cls")]
+    mine = lambda half: F.pmod("session_id", F.lit(2)) == half
+    parts = [M.boosted_scores(d.where(mine(1 - h)), d.where(mine(h)), "cls", [1, 2], columns, rounds=10) for h in (0, 1)]
+    scored = keep(parts[0].unionByName(parts[1]).select("session_id", "t", "score_1", "score_2"), "scored")
+    events = scored.select("session_id", "t", F.lit(0).alias("cls"))
+    for cls in (1, 2):
+        edges = non_max(scored.where(F.col(f"score_{cls}") >= LEAST), "session_id", "t", f"score_{cls}", APART)
+        events = events.unionByName(edges.withColumn("cls", F.lit(cls)))
+    units = B.bracket_pairs(events, "session_id", "t", F.col("cls") == 1, F.col("cls") == 2, MAX_UNIT, MIN_UNIT)
+    bounds, large = B.bounds(activity(spark, sf_dir), "session_id", "t"), large_sessions(spark, sf_dir)
+    gold, half = _edge_rows(_units(spark, sf_dir), bounds), F.pmod("session_id", F.lit(2)).alias("half")
+    rows = []
+    for arm, found in (("learned", units), ("gaps", _pred(spark, sf_dir))):
+        m = P.matched_boundaries(gold, _edge_rows(found, bounds), bounds, ["session_id"], (2, 5, 10), large=large)
+        rows.append(m.groupBy(F.lit(arm).alias("arm"), half, "tol").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")]))
+    return rows[0].unionByName(rows[1]).withColumns(P.prf(F.col("tp"), F.col("n_gold"), F.col("n_pred")))
