@@ -9,10 +9,11 @@ from .catalogue import _A, _units, _units_sql, query
 from . import desk
 from .desk import log, scratch
 from .functions import regulations as J
-from .functions.text import element_prefix, yen
+from .functions.text import LONGEST_PAYLOAD, RAW_FIELDS, ROW_ID, SESSION_ID, element_prefix, payload_refusal, yen
 from .log_reports import _L
 from .operators import audits as U
 from .operators import learn as M
+from .operators import report as T
 from .operators.grid import asof
 from .operators.rules import majority
 from .streaming.confirmations import last_notes
@@ -243,3 +244,55 @@ def event_tags(spark, sf_dir):
 
 
 __all__ = ["DEFINITIONS"]
+
+
+_PAYLOAD = """CASE WHEN k % 9 = 0 THEN concat('{"event_id": "e', e, '", "text": "INV-10-', k, '"}') WHEN k % 9 = 1 THEN concat('seen in ses_', 20240000 + u, '-', 100000 + k) WHEN k % 9 = 2 THEN concat('row INV', k % 10, '-', 10 + u % 5, '-', k, ' is open')
+ WHEN k % 9 = 3 THEN concat('machine_id of ', kind) WHEN k % 9 = 4 THEN repeat(concat(kind, ' ', k, ' '), 1500) WHEN k % 9 = 5 THEN concat('{"machine_id": ', u, '}') ELSE concat('screen of ', kind, ' INV-1-', k) END"""
+_REFUSED = f"CASE WHEN length(p) > {LONGEST_PAYLOAD} THEN 'too long' " + " ".join(f"WHEN contains(p, '\"{f}\"') THEN 'raw field {f}'" for f in RAW_FIELDS)
+
+
+@query(f"""WITH {desk._BASE}, x AS (SELECT e AS event_id, {_PAYLOAD} AS p FROM lb) SELECT event_id, {_REFUSED} WHEN regexp_matches(p, '{SESSION_ID}') OR regexp_matches(p, '{ROW_ID}') THEN 'identifier' END AS reason FROM x""")
+def payload_refusals(spark, sf_dir):
+    """Which payloads made from the log may not leave, and why: bulk, raw records, identifiers in plain text."""
+    return desk._events(spark, sf_dir).select(F.col("e").alias("event_id"), payload_refusal(F.expr(_PAYLOAD)).alias("reason"))
+
+
+_TENTHS = "coalesce(concat(CAST(floor(floor(1000 * {0} / nullif({1}, 0)) / 10) AS BIGINT), '.', CAST(floor(1000 * {0} / nullif({1}, 0)) AS BIGINT) % 10, '%'), '-')"
+
+
+@query(f"""WITH {_MEASURES}, z AS (SELECT count(*) AS labels, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total, CAST(sum(judged) AS BIGINT) AS judged FROM p),
+k AS (SELECT place, p.* FROM r JOIN p USING (label) WHERE weighting = 'transfers x automatability' AND place <= 10), b AS (SELECT label, count(*) AS c FROM r WHERE place <= 3 GROUP BY 1),
+g AS (SELECT label % 40 AS screen, count(*) AS labels, CAST(sum(n) AS BIGINT) AS n, CAST(sum(judged) AS BIGINT) AS judged FROM p GROUP BY 1), bn AS (SELECT *, 2 + row_number() OVER (ORDER BY c DESC, label) AS line FROM b), gn AS (SELECT *, 2 + row_number() OVER (ORDER BY n DESC, screen) AS line FROM g)
+SELECT CAST(section AS INTEGER) AS section, CAST(line AS BIGINT) AS line, text FROM (VALUES (1, -1, '## Scale'), (2, -1, '## Ranking'), (2, 1, '| place | label | runs | share | judged |'), (2, 2, '|---|---|---|---|---|'), (3, -1, '## Robustness'), (3, 1, '| label | weightings |'), (3, 2, '|---|---|'), (4, -1, '## Screens'), (4, 1, '| screen | labels | runs | share | judged |'), (4, 2, '|---|---|---|---|---|')) AS h(section, line, text)
+UNION ALL SELECT 1, 0, concat(n, ' runs of ', labels, ' labels, ', total, ' units of work, ', {_TENTHS.format('judged', 'n')}, ' of the runs judged.') FROM z
+UNION ALL SELECT 2, 2 + place, concat('| ', place, ' | ', label, ' | ', k.n, ' | ', {_TENTHS.format('k.n', 'z.n')}, ' | ', {_TENTHS.format('k.judged', 'k.n')}, ' |') FROM k, z
+UNION ALL SELECT 3, 0, concat(count(*) FILTER (c = 5), ' of ', count(*), ' labels are among the first three under all weightings.') FROM b
+UNION ALL SELECT 3, line, concat('| ', label, ' | ', c, ' of 5 |') FROM bn
+UNION ALL SELECT 4, 0, concat('Screen ', arg_max(screen, (n, -screen)), ' has the most runs: ', max(n), '.') FROM g
+UNION ALL SELECT 4, line, concat('| ', screen, ' | ', gn.labels, ' | ', gn.n, ' | ', {_TENTHS.format('gn.n', 'z.n')}, ' | ', {_TENTHS.format('gn.judged', 'gn.n')}, ' |') FROM gn, z""")
+def process_report(spark, sf_dir):
+    """The report on processes: scale, ranking by priority (ten), robustness under five weightings, and the 40 screens."""
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("label")).agg(
+        F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("total"), F.count_if(F.col("l_linestatus") == "O").alias("judged")
+    )
+    z = p.agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("judged").alias("judged"))
+    all_runs = F.broadcast(z.select(F.col("n").alias("all")))  # one row
+    top, often = priority_order(spark, sf_dir).join(p, "label").crossJoin(all_runs), robustness_five(spark, sf_dir)
+    g = p.groupBy(F.pmod("label", F.lit(40)).alias("screen")).agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("judged").alias("judged"))
+    n, judged = F.col("n"), F.col("judged")
+    shares = {"runs": n, "share": T.share(n, F.col("all")), "judged": T.share(judged, n)}
+    words = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    first = g.agg(F.max_by("screen", F.struct("n", (-F.col("screen")).alias("s"))).alias("screen"), F.max("n").alias("n"))
+    survivors = often.agg(F.count_if(F.col("appearances") == 5).alias("k"), F.count("*").alias("n"))
+    return T.written(spark, scratch(spark, "report"), {
+        "Scale": [T.sentence(z, words(n, " runs of ", F.col("labels"), " labels, ", F.col("total"), " units of work, ", T.share(judged, n), " of the runs judged."))],
+        "Ranking": [T.table_lines(top, {"place": F.col("place"), "label": F.col("label"), **shares}, [F.col("place")])],
+        "Robustness": [
+            T.sentence(survivors, words(F.col("k"), " of ", n, " labels are among the first three under all weightings.")),
+            T.table_lines(often, {"label": F.col("label"), "weightings": words(F.col("appearances"), " of 5")}, [F.desc("appearances"), F.col("label")]),
+        ],
+        "Screens": [
+            T.sentence(first, words("Screen ", F.col("screen"), " has the most runs: ", n, ".")),
+            T.table_lines(g.crossJoin(all_runs), {"screen": F.col("screen"), "labels": F.col("labels"), **shares}, [F.desc("n"), F.col("screen")]),
+        ],
+    })
