@@ -247,7 +247,7 @@ __all__ = ["DEFINITIONS"]
 
 
 _PAYLOAD = """CASE WHEN k % 9 = 0 THEN concat('{"event_id": "e', e, '", "text": "INV-10-', k, '"}') WHEN k % 9 = 1 THEN concat('seen in ses_', 20240000 + u, '-', 100000 + k) WHEN k % 9 = 2 THEN concat('row INV', k % 10, '-', 10 + u % 5, '-', k, ' is open')
- WHEN k % 9 = 3 THEN concat('machine_id of ', kind) WHEN k % 9 = 4 THEN repeat(concat(kind, ' ', k, ' '), 1500) WHEN k % 9 = 5 THEN concat('{"machine_id": ', u, '}') ELSE concat('screen of ', kind, ' INV-1-', k) END"""
+ WHEN k % 9 = 3 THEN concat('machine_id of ', kind) WHEN k % 9 = 4 THEN repeat(concat(kind, ' ', k, ' '), 3000) WHEN k % 9 = 5 THEN concat('{"machine_id": ', u, '}') ELSE concat('screen of ', kind, ' INV-1-', k) END"""
 _REFUSED = f"CASE WHEN length(p) > {LONGEST_PAYLOAD} THEN 'too long' " + " ".join(f"WHEN contains(p, '\"{f}\"') THEN 'raw field {f}'" for f in RAW_FIELDS)
 
 
