@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import random
 import re
 import time
 import zlib
@@ -198,6 +199,32 @@ def test_wrappers_decide_on_named_and_unnamed_pages(spark):
     assert all(got[3000 + i].split("\n") == lines(1) for i in range(4))
 
 
+def test_alignment_of_any_size_is_the_best_one():
+    body = ["<p>", "#@m1", "</p>", "#@m2"] * 200
+    long = html.align(["<i>", *body, "=t@m3", "<u>"], ["<b>", *body, "=s@m3", "<s>"])  # middles of over 600,000 cells
+    assert long == ["<i>?", "<b>?", *body, "#@m3", "<u>?", "<s>?"]
+
+    def plain(x, y):  # the whole table at once
+        fits = lambda a, b: 2 if a == b else int(a[0] in "#=" and b[0] in "#=" and a[-3:] == b[-3:])
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                fit = fits(x[i], y[j])
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + fit if fit else 0)
+        i = j = 0
+        while i < len(x) and j < len(y):
+            fit = fits(x[i], y[j])
+            move = 0 if fit and best[i][j] == best[i + 1][j + 1] + fit else 1 if best[i + 1][j] >= best[i][j + 1] else 2
+            yield move
+            i, j = i + (move < 2), j + (move != 1)
+        yield from [1] * (len(x) - i) + [2] * (len(y) - j)
+
+    draw = random.Random(3)
+    for size in (0, 1, 5, 60, 150):  # from 60 on the rows of scores come in blocks
+        x, y = (draw.choices(["<p>", "<b>", "#@m1", "=a@m1", "=b@m1", "#@m2"], k=size + k) for k in (0, 3))
+        assert list(html._moves(x, y)) == list(plain(x, y))
+
+
 def test_alignment_turns_a_common_text_into_a_slot():
     by = lambda name: ["<b>", f"#{name}@m1", "</b>", "<p>", "#t@m2", "</p>"]
     assert html.infer([by("ann"), by("ann"), by("ann"), by("bob")]) == ["<b>", "#@m1", "</b>", "<p>", "=t@m2", "</p>"]

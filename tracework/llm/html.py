@@ -11,10 +11,12 @@ its slots stand in regions that class names mark as furniture, it overrides thos
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,8 +50,6 @@ IN_HEAD = frozenset("head title meta link base style script noscript template".s
 CONSTANT = 3
 #: Forms of one host that one task aligns; a host of more is aligned level by level.
 GROUP = 200
-#: Cells of an alignment; forms whose unequal middles need more are not aligned there.
-GRID = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -162,13 +162,6 @@ def _key(token: str) -> str:
     return "#" + "".join(token.partition("@")[1:]) if token[0] == "#" else token
 
 
-def _fit(x: str, y: str) -> int:
-    """2 for equal keys, 1 for a text and a slot (or another text) of one place, else 0."""
-    if x == y:
-        return 2
-    return int(x[0] in "#=" and y[0] in "#=" and x.partition("@")[1:] == y.partition("@")[1:])
-
-
 def fold(form: list[str], widest: int = 12) -> list[str]:
     """``form`` with each run of equal groups as one group: texts of repeated groups become slots."""
     shape = [_key(t) for t in form]
@@ -188,6 +181,52 @@ def fold(form: list[str], widest: int = 12) -> list[str]:
     return form
 
 
+def _best(k: int, p: int, keys: np.ndarray, places: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of best scores, from the row below it, for a token of key ``k`` and place ``p``; and its fits."""
+    fit = (keys == k).astype(np.int32) + (places == p)
+    row = np.append(np.maximum(below[:-1], np.where(fit > 0, below[1:] + fit, 0)), 0).astype(np.int32)
+    return np.maximum.accumulate(row[::-1])[::-1], fit
+
+
+def _moves(x: list[str], y: list[str]) -> Iterator[int]:
+    """The best alignment of keys ``x`` and ``y`` from its start: 0 takes both tokens, 1 that of ``x``, 2 that of ``y``.
+
+    Equal keys score 2, a text and a slot (or another text) of one place 1.  Of every ``step`` rows of
+    scores one is kept and the others are found again on the way, so memory grows with ``y`` times the root of ``x``.
+    """
+    n, m = len(x), len(y)
+    if not n or not m:
+        yield from [1] * n + [2] * m
+        return
+    names: dict = {}
+    code = lambda tokens: np.array([names.setdefault(t, len(names)) for t in tokens], np.int32)
+    place = lambda t: t.partition("@")[1:] if t[0] in "#=" else t
+    kx, ky, px, py = code(x), code(y), code(map(place, x)), code(map(place, y))
+    step = 2 * math.isqrt(n) + 1
+    row, kept = np.zeros(m + 1, np.int32), {}
+    for i in range(n, 0, -1):
+        if i % step == 0 or i == n:
+            kept[i] = row
+        if i <= step:
+            break
+        row = _best(kx[i - 1], px[i - 1], ky, py, row)[0]
+    i = j = 0
+    while i < n and j < m:
+        if i % step == 0:
+            top = min(i + step, n)
+            row, moves = kept.pop(top), np.empty((top - i, m), np.uint8)
+            for r in range(top - 1, i - 1, -1):
+                below = row
+                row, fit = _best(kx[r], px[r], ky, py, below)
+                moves[r - i] = np.where((fit > 0) & (row[:-1] == below[1:] + fit), 0, np.where(below[:-1] >= row[1:], 1, 2))
+        at = i % step
+        while at < len(moves) and j < m:
+            move = int(moves[at, j])
+            yield move
+            at, i, j = at + (move < 2), i + (move < 2), j + (move != 1)
+    yield from [1] * (n - i) + [2] * (m - j)
+
+
 def align(wrapper: list[str], form: list[str]) -> list[str]:
     """The wrapper that fits both: texts that differ are slots, unmatched tokens optional ("?")."""
     a = [t.rstrip("?") for t in wrapper]
@@ -198,14 +237,6 @@ def align(wrapper: list[str], form: list[str]) -> list[str]:
     tail = 0
     while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
         tail += 1
-    n, m = len(x) - head - tail, len(y) - head - tail
-    if n * m > GRID:  # too far apart to align: both middles are optional
-        y[head : head + m] = ["<>"] * m
-    best = [[0] * (m + 1) for _ in range(n + 1)] if n * m <= GRID else [[0] * 2] * (n + 1)
-    for i in range(n - 1 if n * m <= GRID else -1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            fit = _fit(x[head + i], y[head + j])
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + fit if fit else 0)
     out = []
 
     def both(i: int, j: int) -> None:
@@ -215,18 +246,13 @@ def align(wrapper: list[str], form: list[str]) -> list[str]:
 
     for i in range(head):
         both(i, i)
-    i = j = 0
-    while i < n or j < m:
-        fit = _fit(x[head + i], y[head + j]) if i < n and j < m and n * m <= GRID else 0
-        if fit and best[i][j] == best[i + 1][j + 1] + fit:
-            both(head + i, head + j)
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and (n * m > GRID or best[i + 1][j] >= best[i][j + 1])):
-            out.append(a[head + i] + "?")
-            i += 1
+    i = j = head
+    for move in _moves(x[head : len(x) - tail], y[head : len(y) - tail]):
+        if move == 0:
+            both(i, j)
         else:
-            out.append(form[head + j].rstrip("?") + "?")
-            j += 1
+            out.append((a[i] if move == 1 else form[j].rstrip("?")) + "?")
+        i, j = i + (move < 2), j + (move != 1)
     for t in range(tail, 0, -1):
         both(len(x) - t, len(y) - t)
     return out
