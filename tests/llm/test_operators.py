@@ -2,8 +2,11 @@
 
 import collections
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -89,6 +92,44 @@ def test_substrings_and_packing_on_odd_rows(odd, empty):
     assert pack_documents(empty, path).count() == 0
 
 
+def test_encoder_joins_units():
+    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    e = type(encoder(path, "byte"))(path, "byte")
+    ends = ["x", "it's", "7", "..", "ß", "\n", "\n\n", "\t ", "\u3000", "<|endoftext|>", "e\u0301", "漢字", "\U0001f600", "'", "\x1c"]
+    units = [f" {a}{b}" for a in ends for b in ["", *ends]] + ["", " ", "a", "  b", *ends, " <|endof", " text|>"]
+    assert e._bytes(units) == e._library(units)
+    assert e._bytes([]) == [] and e._bytes([""]) == [b""]
+    draw, calls = random.Random(4), []
+    words = ["".join(draw.choices("abcdefghij", k=8)) for _ in range(20_000)]
+    library = e.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, units, **options):
+            calls.append(len(units))
+            return library.encode_batch_fast(units, **options)
+
+    e.tokenizer = Counted()
+    assert e.encode(" ".join(words)) == np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert sum(calls) < 50  # not one call's worth of overhead a word
+
+
+def test_encoder_memory_is_bounded():
+    code = f"""
+import random, resource, pyarrow as pa
+from tracework.llm.tokens import encoder
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+draw = random.Random(5)
+words = ["".join(draw.choices("abcdefghijklmno", k=9)) for _ in range(60_000)]
+texts = pa.array([" ".join(draw.choices(words, k=200)) for _ in range(8_000)])
+e = encoder({f"{queries.TOKENIZERS}/byte_bpe_50k.json"!r}, "byte")
+before = peak()
+print(sum(len(x) for part in e.batches(texts) for x in part) > 0, peak() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    whole, grown = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert whole == "True" and int(grown) < 100, grown  # MB, over 16 MB of text
+
+
 def test_packing_windows():
     r = np.random.default_rng(1)
     sizes = r.integers(1, 2049, 300).tolist()

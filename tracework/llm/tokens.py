@@ -21,6 +21,10 @@ from .common import runs
 
 #: Entries of one generation of the cache, and the longest unit that is kept.
 CACHE, CACHED_CHARS = 200_000, 40
+#: Bytes of text that are cut and encoded at once.
+RUN = 3_000_000
+#: Bytes of units that go through the library end to end.
+JOINED = 50_000
 
 #: White space as Unicode's White_Space property has it.
 _WHITE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -64,6 +68,11 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.sign = os.path.commonprefix(self.added)
         self.kind = kind
+        # how many bytes of text each id of a byte-level file stands for
+        vocabulary = self.tokenizer.get_vocab() if kind == "byte" else {}
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token.encode() if token in self.added else token)
         self.units: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before
         self.parts: dict[str, bytes] = {}
@@ -75,7 +84,7 @@ class Encoder:
     def batches(self, texts: pa.Array) -> Iterator[list[bytes]]:
         """The ids of all texts in order, a few megabytes of text at a time."""
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-        for a, b in runs(sizes, 12_000_000):
+        for a, b in runs(sizes, RUN):
             yield self._batch(pc.fill_null(texts.slice(a, b - a), ""))
 
     def _batch(self, texts: pa.Array) -> list[bytes]:
@@ -89,15 +98,12 @@ class Encoder:
             cut = pc.if_else(hit, texts, cut)
         units = pc.split_pattern(cut, mark)
         named = units.flatten().dictionary_encode()
-        ids = self._known(named.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in ids], np.int64) // 4
-        starts, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ids), "<u4")
-        index = named.indices.to_numpy()
-        n = lengths[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        out = pool[np.repeat(starts[index] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        stops = (4 * ends[units.offsets.to_numpy() - units.offsets[0].as_py()]).tolist()
-        return [out[a:b] for a, b in zip(stops, stops[1:])]
+        found = pa.array(self._known(named.dictionary.to_pylist()), pa.large_binary()).take(named.indices)
+        _, offsets, data = found.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(found) + 1) if len(found) else np.zeros(1, np.int64)
+        stops = ends[units.offsets.to_numpy() - units.offsets[0].as_py()].tolist()
+        out = memoryview(data or b"")
+        return [bytes(out[a:b]) for a, b in zip(stops, stops[1:])]
 
     def _known(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units; those that neither generation of the cache holds are encoded."""
@@ -107,7 +113,7 @@ class Encoder:
             out[i] = self.old.get(units[i])
         missing = [i for i in unseen if out[i] is None]
         new = [units[i] for i in missing]
-        for i, ids in zip(missing, self._words(new) if self.kind == "word" else self._library(new), strict=True):
+        for i, ids in zip(missing, self._words(new) if self.kind == "word" else self._bytes(new), strict=True):
             out[i] = ids
         if len(self.units) + len(unseen) > CACHE:
             self.old, self.units = self.units, {}
@@ -117,6 +123,26 @@ class Encoder:
     def _library(self, units: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _bytes(self, units: list[str]) -> list[bytes]:
+        """Ids of units of a byte-level file: those that begin with a blank before a character go through the library end to
+        end, since no token reaches over such a blank, and are told apart by the bytes that their ids stand for."""
+        out: list[bytes | None] = [None] * len(units)
+        joined = [i for i, u in enumerate(units) if u[:1] == " " and u[1:2].strip()]
+        sizes = [len(units[i].encode()) for i in joined]
+        for a, b in runs(sizes, JOINED):
+            text = "".join([units[i] for i in joined[a:b]])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            reached, wanted = np.cumsum(self.widths[ids]), np.cumsum(sizes[a:b])
+            ends = np.searchsorted(reached, wanted)
+            if len(ids) and reached[-1] == wanted[-1] and (reached[ends] == wanted).all():
+                data, ends = ids.tobytes(), (4 * ends + 4).tolist()
+                for i, start, end in zip(joined[a:b], [0, *ends], ends):
+                    out[i] = data[start:end]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._library([units[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def _words(self, units: list[str]) -> Iterator[bytes]:
         if len(self.parts) > CACHE:
             self.parts.clear()
