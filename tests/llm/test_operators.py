@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -97,8 +98,11 @@ def test_encoder_joins_units():
     e = type(encoder(path, "byte"))(path, "byte")
     ends = ["x", "it's", "7", "..", "ß", "\n", "\n\n", "\t ", "\u3000", "<|endoftext|>", "e\u0301", "漢字", "\U0001f600", "'", "\x1c"]
     units = [f" {a}{b}" for a in ends for b in ["", *ends]] + ["", " ", "a", "  b", *ends, " <|endof", " text|>"]
-    assert e._bytes(units) == e._library(units)
-    assert e._bytes([]) == [] and e._bytes([""]) == [b""]
+    for some in (units, [], [""], [" a"]):
+        assert e._joined(pa.array(some, pa.string())).to_pylist() == e._library(some)
+    e.widths[:] = 7  # where ids don't add up to the bytes of the units, units are encoded one by one
+    assert e._joined(pa.array(units)).to_pylist() == e._library(units)
+    e = type(e)(path, "byte")
     draw, calls = random.Random(4), []
     words = ["".join(draw.choices("abcdefghij", k=8)) for _ in range(20_000)]
     library = e.tokenizer
@@ -110,7 +114,7 @@ def test_encoder_joins_units():
 
     e.tokenizer = Counted()
     assert e.encode(" ".join(words)) == np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
-    assert sum(calls) < 50  # not one call's worth of overhead a word
+    assert sum(calls) < 1000  # strings, not one a word
 
 
 def test_encoder_memory_is_bounded():

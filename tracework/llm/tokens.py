@@ -1,8 +1,9 @@
 """Token ids of whole texts, by the ``tokenizers`` library, as packed little-endian integers.
 
 Most of a corpus are words seen before.  The texts of a batch are cut where no token can reach over
-the cut, pyarrow finds the distinct units, and each of them goes through the library once; two
-generations of a bounded cache keep what is frequent.
+the cut, pyarrow finds the distinct units, and each of them goes through the library once: units of a
+byte-level file end to end, those of a word-level one piece by piece, where two generations of a bounded
+cache keep what is frequent.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from .common import runs
 #: Entries of one generation of the cache, and the longest unit that is kept.
 CACHE, CACHED_CHARS = 200_000, 40
 #: Bytes of text that are cut and encoded at once.
-RUN = 3_000_000
-#: Bytes of units that go through the library end to end.
-JOINED = 50_000
+RUN = 8_000_000
+#: Bytes of units that go through the library as one string.
+JOINED = 1_000
 
 #: White space as Unicode's White_Space property has it.
 _WHITE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: A blank between white space: the one place before a blank where a byte-level token may reach over.
 _AMID = f"[{_WHITE}] [{_WHITE}]"
+#: A blank before a character begins a token in any surroundings.
+_BEGIN = f"^ [^{_WHITE}]"
 #: What marks the cuts: code points that are no characters; one that no text of a batch holds is taken.
 _MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
@@ -90,7 +93,7 @@ class Encoder:
     def _batch(self, texts: pa.Array) -> list[bytes]:
         mark = next((m for m in _MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
         if mark is None:
-            return self._known(texts.to_pylist())
+            return self._known(texts.to_pylist()) if self.kind == "word" else self._library(texts.to_pylist())
         cut = pc.replace_substring(texts, " ", f"{mark} ")
         if self.kind == "byte":  # such texts are one unit each
             cut = pc.if_else(pc.match_substring_regex(texts, _AMID), texts, cut)
@@ -98,7 +101,8 @@ class Encoder:
             cut = pc.if_else(hit, texts, cut)
         units = pc.split_pattern(cut, mark)
         named = units.flatten().dictionary_encode()
-        found = pa.array(self._known(named.dictionary.to_pylist()), pa.large_binary()).take(named.indices)
+        ids = self._joined(named.dictionary) if self.kind == "byte" else pa.array(self._known(named.dictionary.to_pylist()), pa.large_binary())
+        found = ids.take(named.indices)
         _, offsets, data = found.buffers()
         ends = np.frombuffer(offsets, np.int64, len(found) + 1) if len(found) else np.zeros(1, np.int64)
         stops = ends[units.offsets.to_numpy() - units.offsets[0].as_py()].tolist()
@@ -113,7 +117,7 @@ class Encoder:
             out[i] = self.old.get(units[i])
         missing = [i for i in unseen if out[i] is None]
         new = [units[i] for i in missing]
-        for i, ids in zip(missing, self._words(new) if self.kind == "word" else self._bytes(new), strict=True):
+        for i, ids in zip(missing, self._words(new), strict=True):
             out[i] = ids
         if len(self.units) + len(unseen) > CACHE:
             self.old, self.units = self.units, {}
@@ -123,25 +127,32 @@ class Encoder:
     def _library(self, units: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _bytes(self, units: list[str]) -> list[bytes]:
+    def _joined(self, units: pa.Array) -> pa.Array:
         """Ids of units of a byte-level file: those that begin with a blank before a character go through the library end to
         end, since no token reaches over such a blank, and are told apart by the bytes that their ids stand for."""
-        out: list[bytes | None] = [None] * len(units)
-        joined = [i for i, u in enumerate(units) if u[:1] == " " and u[1:2].strip()]
-        sizes = [len(units[i].encode()) for i in joined]
-        for a, b in runs(sizes, JOINED):
-            text = "".join([units[i] for i in joined[a:b]])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            reached, wanted = np.cumsum(self.widths[ids]), np.cumsum(sizes[a:b])
-            ends = np.searchsorted(reached, wanted)
-            if len(ids) and reached[-1] == wanted[-1] and (reached[ends] == wanted).all():
-                data, ends = ids.tobytes(), (4 * ends + 4).tolist()
-                for i, start, end in zip(joined[a:b], [0, *ends], ends):
-                    out[i] = data[start:end]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self._library([units[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        plain = pc.match_substring_regex(units, _BEGIN)
+        chosen, others = units.filter(plain), units.filter(pc.invert(plain))
+        _, offsets, data = chosen.buffers()
+        stops = np.frombuffer(offsets, np.int32, len(chosen) + 1).astype(np.int64) if len(chosen) else np.zeros(1, np.int64)
+        texts, i = [], 0
+        while i < len(chosen):
+            j = max(i + 1, int(np.searchsorted(stops, stops[i] + JOINED, "right")) - 1)
+            texts.append(str(memoryview(data)[stops[i] : stops[j]], "utf-8"))
+            i = j
+        coded = [np.zeros(0, "<u4")]
+        for k in range(0, len(texts), 64):  # the library's results are large
+            coded += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False)]
+        ids = np.concatenate(coded)
+        reached = np.cumsum(np.append(0, self.widths[ids]))
+        ends = np.searchsorted(reached, stops)
+        if reached[-1] == stops[-1] and (reached[ends] == stops).all():
+            first = pa.Array.from_buffers(pa.large_binary(), len(chosen), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)])
+        else:  # some bytes have no id
+            first = pa.array(self._library(chosen.to_pylist()), pa.large_binary())
+        rest = pa.array(self._library(others.to_pylist()), pa.large_binary())
+        mask, place = plain.to_numpy(zero_copy_only=False), np.empty(len(units), np.int64)
+        place[mask], place[~mask] = np.arange(len(chosen)), np.arange(len(chosen), len(units))
+        return pa.concat_arrays([first, rest]).take(pa.array(place))
 
     def _words(self, units: list[str]) -> Iterator[bytes]:
         if len(self.parts) > CACHE:
