@@ -16,7 +16,7 @@ import pytest
 
 import corpus_pipeline
 from tests.oracle import connect, differences
-from tracework.llm import html, packing, queries, rans, setsketch, signatures, sql, tokenfile
+from tracework.llm import html, packing, queries, rans, setsketch, signatures, sql, tokenfile, tokens
 from tracework.llm.decontaminate import benchmark_spans, summarise
 from tracework.llm.neardup import near_duplicates, shingle_sets
 from tracework.llm.packing import pack_documents
@@ -117,6 +117,52 @@ def test_encoder_joins_units():
     assert sum(calls) < 1000  # strings, not one a word
 
 
+class Counting:
+    """A tokenizer that counts the strings it is given, and its model's pieces."""
+
+    def __init__(self, library):
+        self.library, self.model, self.strings = library, self, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.strings += len(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+    def tokenize(self, piece):
+        self.strings += 1
+        return self.library.model.tokenize(piece)
+
+
+def test_word_encoder_joins_pieces():
+    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    e = type(encoder(path, "word"))(path, "word")
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefghijß", k=8)) for _ in range(20_000)]
+    library = e.tokenizer
+    counted = e.tokenizer, e.model = Counting(library), Counting(getattr(e, "model", library))
+    assert e.encode(" ".join(words)) == np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert sum(c.strings for c in counted) < 1000  # strings, not one a word
+
+
+def test_word_encoder_on_odd_texts(monkeypatch):
+    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    e = type(encoder(path, "word"))(path, "word")
+    signs = [*"''''strevmldS", *"    \n\t17²éÉȺƁİ漢.-\0\x1c\x85\xa0\x7f", "e\u0301", "H\u0331", "<|", "<|endoftext|>", "</w>"]
+    draw = random.Random(6)
+    texts = ["'", "s", "''s", "a's's", "'rex'll'd", "'r", "e", "x'", "", None, "'S", "x" * 5000, " "]
+    texts += ["".join(draw.choices(signs, k=draw.choice([1, 3, 9, 40]))) for _ in range(3000)]
+    expected = [np.array(e.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    rows = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    for entries in 400_000, 100, 0:  # the cache in use, ever anew, and without entries
+        monkeypatch.setattr(tokens, "CACHE", entries)
+        for _ in range(2):
+            for a in 0, 7:
+                got = [ids for part in e.batches(rows.slice(a)) for ids in part]
+                assert [t for t, x, y in zip(texts[a:], got, expected[a:], strict=True) if x != y] == []
+        assert len(e.parts) <= entries
+    e.ends[:] = False  # where pieces can't be told apart by their ids, they are encoded one by one
+    assert [ids for part in e.batches(rows) for ids in part] == expected
+
+
 def test_encoder_memory_is_bounded():
     code = f"""
 import random, resource, pyarrow as pa
