@@ -81,3 +81,25 @@ def test_units_in_linked_clusters(spark):
     rows = catalogue.queries()["unit_linkage"](spark, SF).collect()
     units = catalogue.queries()["bracket_pairs"](spark, SF).count()
     assert len(rows) == units and len({r["cluster"] for r in rows}) > 1
+
+
+def test_a_core_needs_no_forest(spark, monkeypatch):
+    """Bags that lie together above the cut are one node: only the few outside meet in groups."""
+    rng = random.Random(5)
+    bags = {f"u{i:03}": rng.choices([f"w{n}" for n in range(30)], k=min(2 + int(rng.expovariate(0.4)), 14)) for i in range(300)}
+    links, met = L.links, []
+    monkeypatch.setattr(L, "links", lambda nodes, floor: met.append(nodes.count()) or links(nodes, floor))
+    for k, settings in ((4, {}), (9, {"WORDS": 200, "COLUMNS": 3, "ROWS": 7})):
+        for name, value in settings.items():
+            monkeypatch.setattr(L, name, value)
+        want = by_all_pairs(bags, k, 0.2)
+        assert clusters(spark, bags, k, 0.2) == want
+        assert met.pop() < len(bags) / 2 and len(set(want.values())) == k
+
+
+def test_without_a_core_all_bags_meet(spark, monkeypatch):
+    rng = random.Random(6)
+    bags = {f"u{i:03}": rng.choices([f"w{n}" for n in range(30)], k=rng.randint(2, 9)) for i in range(80)}
+    monkeypatch.setattr(L, "PARTS", 0)
+    assert clusters(spark, bags, 5, 0.2) == by_all_pairs(bags, 5, 0.2)
+    assert clusters(spark, bags, 200, 0.2) == by_all_pairs(bags, 200, 0.2)
